@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Folder that holds the package; workers of a local session find the package here.
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: Rows of an Arrow batch between Spark and Python, at most.
+ROWS_AT_ONCE = 1000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +27,10 @@ def ship(spark: SparkSession) -> None:
 
     On a cluster the package is installed or sent with --py-files; the extra path is then harmless.
     """
+    # whole texts are long: batches of fewer rows bound the memory of a worker
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= ROWS_AT_ONCE:
+        spark.conf.set(batch, ROWS_AT_ONCE)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
