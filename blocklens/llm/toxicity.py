@@ -1,13 +1,14 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-Every word has a word input (an embedding by hash) and a character input (the mean embedding of its byte
-trigrams, by hash). A window of words runs through a gated recurrent unit in both directions; attention pools
+Every word has a word input (an embedding by hash) and character inputs: the mean embedding of its byte
+trigrams and that of its beginnings of several lengths, by hash, for inflected and compound words. A window of words runs through a gated recurrent unit in both directions; attention pools
 the states; a linear unit gives the window's logit. All overlapping windows of the whole text are scored, the
 document's score is that of its most toxic window.
 
 Training: a sample of at most `per_class` labelled documents of each class (a documented bound), as bags of
 windows: in each round the network picks the top window of every document and learns from these, and from
-random windows of clean documents. Word embeddings start from the log-odds of their words in the sample.
+random windows of clean documents. Embeddings of words and beginnings start from the log-odds of what they
+stand for in the sample; word inputs are dropped at random in training, so that characters count.
 
 Defined results: null text and text without words score 0.0; labels that are null or neither 0 nor 1 are not
 learned from; nothing to learn from (no row of one class): all score 0.0; repeated rows repeat their result;
@@ -29,8 +30,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from blocklens.llm.common import held_out, ship
 
 WINDOW, STRIDE = 16, 8
-WORD_BITS, GRAM_BITS = 17, 12
-WORDS, GRAMS = 1 << WORD_BITS, 1 << GRAM_BITS
+WORD_BITS, GRAM_BITS, STEM_BITS = 17, 12, 16
+WORDS, GRAMS, STEMS = 1 << WORD_BITS, 1 << GRAM_BITS, 1 << STEM_BITS
+#: Lengths of beginnings in bytes, the mark at the word's begin included.
+STEM_SIZES = np.arange(4, 10)
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
 PER_CLASS = 2500
 #: Windows of one document that training looks at, drawn at random from a longer one.
@@ -45,8 +48,16 @@ BATCH = 4096
 EDGES = ".,;:!?\"'()[]{}<>-_*#"
 
 
-def word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word bucket, trigram buckets of all words in a row, start of each word's trigrams)."""
+class Codes:
+    """Of words: word bucket, trigram buckets of all words in a row with their start and number for each word, and
+    buckets of beginnings (-1: the word is shorter)."""
+
+    def __init__(self, words: list[str]):
+        self.bucket, self.gram, self.first, self.stem = word_codes(words)
+        self.size = np.diff(np.append(self.first, len(self.gram)))
+
+
+def word_codes(words: list[str]) -> tuple[np.ndarray, ...]:
     data = [b"<" + w.strip(EDGES).encode("utf-8", "replace") + b">" for w in words]
     data = [d if len(d) > 2 else b"<\x00>" for d in data]
     sizes = np.fromiter(map(len, data), np.int64, len(data))
@@ -57,11 +68,15 @@ def word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     bucket = (np.add.reduceat(mixed, starts) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+    ends = starts[:, None] + np.minimum(STEM_SIZES, sizes[:, None])
+    stem = ((sums[ends] - sums[starts][:, None]) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - STEM_BITS)).astype(np.int32)
+    stem[sizes[:, None] < STEM_SIZES] = -1
     gram = (raw[:-2] << np.uint64(16)) | (raw[1:-1] << np.uint64(8)) | raw[2:]
     inside = at[:-2] < np.repeat(sizes, sizes)[:-2] - 2
     gram = ((gram[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int32)
     firsts = np.concatenate(([0], np.cumsum(sizes - 2)[:-1]))
-    return bucket, gram, firsts
+    return bucket, gram, firsts, stem
 
 
 def windows(n: int) -> np.ndarray:
@@ -84,18 +99,23 @@ class Network:
         draw = lambda *shape, scale=0.1: rng.normal(0, scale, shape).astype(np.float32)
         h = HIDDEN
         self.p = {
-            "word": draw(WORDS, WIDTH, scale=0.02), "gram": draw(GRAMS, WIDTH), "in": draw(2, 2 * WIDTH, 3 * h, scale=0.3), "bias": np.zeros((2, 3 * h), np.float32),
+            "word": draw(WORDS, WIDTH, scale=0.02), "gram": draw(GRAMS, WIDTH), "stem": draw(STEMS, WIDTH, scale=0.02), "in": draw(2, 3 * WIDTH, 3 * h, scale=0.3), "bias": np.zeros((2, 3 * h), np.float32),
             "rec": draw(2, h, 3 * h, scale=0.3), "att": draw(2 * h, ATTENTION, scale=0.3), "att_b": np.zeros(ATTENTION, np.float32), "att_v": draw(ATTENTION, scale=0.3), "out": draw(2 * h, scale=0.3), "out_b": np.zeros(1, np.float32),
         }
 
     def word_inputs(self, words: list[str]) -> np.ndarray:
         """(words, 2, 3h): what a word adds to the gates of either direction."""
-        bucket, gram, firsts = word_codes(words)
-        sizes = np.diff(np.append(firsts, len(gram)))
-        chars = np.add.reduceat(self.p["gram"][gram], firsts, axis=0) / sizes[:, None]
-        x = np.concatenate([self.p["word"][bucket], chars], axis=1)
+        codes = Codes(words)
+        chars = np.add.reduceat(self.p["gram"][codes.gram], codes.first, axis=0) / codes.size[:, None]
+        x = np.concatenate([self.p["word"][codes.bucket], chars, self.stems(codes.stem)], axis=1)
         return (np.einsum("nw,dwg->ndg", x, self.p["in"], optimize=True) + self.p["bias"]).astype(np.float32)
 
+    def stems(self, stem: np.ndarray) -> np.ndarray:
+        """Mean embedding of the beginnings of words."""
+        there = stem >= 0
+        total = np.where(there[..., None], self.p["stem"][stem], np.float32(0)).sum(axis=1)
+        return total / np.maximum(there.sum(axis=1, keepdims=True), 1)
+
     def run(self, gates: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """Logits of windows from gate inputs (n, WINDOW, 2, 3h); mask: where there is a word, None for everywhere."""
         n, h, p = len(gates), HIDDEN, self.p
@@ -128,20 +148,22 @@ class Network:
         logit = pooled @ p["out"] + p["out_b"][0]
         return (logit, (flat, u, w, pooled, kept)) if keep else logit
 
-    def gradients(self, words: np.ndarray, codes, mask: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy of windows; words: (n, WINDOW) indexes into codes."""
+    def gradients(self, words: np.ndarray, codes: Codes, mask: np.ndarray, target: np.ndarray, rng=None) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of windows; words: (n, WINDOW) indexes into codes; rng: for dropped word inputs."""
         p, h, n = self.p, HIDDEN, len(words)
-        bucket, gram, firsts, sizes = codes
         used, local = np.unique(words, return_inverse=True)
         local = local.reshape(words.shape)
-        lengths = sizes[used]
+        lengths = codes.size[used]
         owner = np.repeat(np.arange(len(used)), lengths)
         inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        grams = gram[np.repeat(firsts[used], lengths) + inside]
+        grams = codes.gram[np.repeat(codes.first[used], lengths) + inside]
         chars = np.zeros((len(used), WIDTH), np.float32)
         np.add.at(chars, owner, p["gram"][grams])
         chars /= lengths[:, None]
-        x = np.concatenate([p["word"][bucket[used]], chars], axis=1)
+        bucket, stem = codes.bucket[used], codes.stem[used]
+        there = stem >= 0
+        heard = np.ones((len(used), 1), np.float32) if rng is None else (rng.random((len(used), 1)) < 0.5).astype(np.float32)
+        x = np.concatenate([p["word"][bucket] * heard, chars, self.stems(stem)], axis=1)
         table = np.einsum("nw,dwg->ndg", x, p["in"]) + p["bias"]
         logit, (flat, u, w, pooled, kept) = self.run(table[local].astype(np.float32), mask, keep=True)
         g = {}
@@ -177,9 +199,11 @@ class Network:
         g["bias"] = dtable.sum(axis=0)
         g["in"] = np.einsum("nw,ndg->dwg", x, dtable)
         dx = np.einsum("ndg,dwg->nw", dtable, p["in"])
-        g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(g["word"], bucket[used], dx[:, :WIDTH])
-        np.add.at(g["gram"], grams, (dx[:, WIDTH:] / lengths[:, None])[owner])
+        g |= {k: np.zeros_like(p[k]) for k in ("word", "gram", "stem")}
+        np.add.at(g["word"], bucket, dx[:, :WIDTH] * heard)
+        np.add.at(g["gram"], grams, (dx[:, WIDTH : 2 * WIDTH] / lengths[:, None])[owner])
+        each = dx[:, 2 * WIDTH :] / np.maximum(there.sum(axis=1, keepdims=True), 1)
+        np.add.at(g["stem"], stem[there], np.repeat(each, there.sum(axis=1), axis=0))
         return g
 
 
@@ -204,13 +228,17 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
     if not len(docs) or target.min() == target.max():
         return None
     net = Network(seed)
-    bucket, gram, firsts = word_codes(list(index))
-    codes = (bucket, gram, firsts, np.diff(np.append(firsts, len(gram))))
-    present = np.zeros((2, WORDS))
-    for rows, label in zip(docs, target, strict=True):
-        present[int(label), np.unique(bucket[rows])] += 1
-    odds = np.log((present[1] + 1) / (target.sum() + 2)) - np.log((present[0] + 1) / ((1 - target).sum() + 2))
-    net.p["word"][:, 0] = np.where(present.sum(axis=0) >= 5, np.clip(odds, -3, 3), 0) / 2
+    codes = Codes(list(index))
+    odds = {}
+    for name, at in (("word", codes.bucket[:, None]), ("stem", codes.stem)):
+        present = np.zeros((2, len(net.p[name])))
+        for rows, label in zip(docs, target, strict=True):
+            seen = np.unique(at[rows])
+            present[int(label), seen[seen >= 0]] += 1
+        value = np.log((present[1] + 1) / (target.sum() + 2)) - np.log((present[0] + 1) / ((1 - target).sum() + 2))
+        net.p[name][:, 0] = np.where(present.sum(axis=0) >= 5, np.clip(value, -3, 3), 0) / 2
+        odds[name] = np.where(at >= 0, net.p[name][at, 0], 0).max(axis=1)
+    odds = odds["word"] + odds["stem"]
     bags, masks, owner = [], [], []
     for d, rows in enumerate(docs):
         starts = windows(len(rows))
@@ -222,17 +250,19 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
         owner.append(np.full(len(w), d))
     bags, masks, owner = np.concatenate(bags), np.concatenate(masks), np.concatenate(owner)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    score = np.where(masks, net.p["word"][bucket[bags], 0], -9).max(axis=1)  # round one: by word odds
+    score = np.where(masks, odds[bags], -9).max(axis=1)  # round one: by log-odds
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     clean = np.flatnonzero(target[owner] == 0)
     step = 0
-    rounds = max(ROUNDS, -(-LEAST_STEPS * STEP // (2 * len(docs))))
+    rounds = max(ROUNDS, -(-LEAST_STEPS * STEP // (4 * int((target == 0).sum()))))
     for round_ in range(rounds):
         order = np.lexsort((rng.random(len(score)), -score, owner))
-        picked = np.concatenate([order[first], rng.choice(clean, len(docs))])
+        top = order[first]
+        toxic_top, clean_top = top[target == 1], top[target == 0]
+        picked = np.concatenate([clean_top, rng.choice(clean, len(clean_top)), np.resize(rng.permutation(toxic_top), 2 * len(clean_top))])
         for at in np.split(rng.permutation(picked), range(STEP, len(picked), STEP)):
             step += 1
-            for k, g in net.gradients(bags[at], codes, masks[at], target[owner[at]]).items():
+            for k, g in net.gradients(bags[at], codes, masks[at], target[owner[at]], rng).items():
                 m, v = moments[k]
                 m *= 0.9
                 m += 0.1 * g
