@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from blocklens.runtime import ship
 from blocklens.sources.chainview import Views, with_views
 
 
@@ -18,6 +19,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark, sf_dir: str) -> DataFrame:
+        ship(spark)
         return self.build(Views(spark, sf_dir))
 
 
