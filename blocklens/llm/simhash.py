@@ -37,7 +37,7 @@ SEED = 42
 #: Distinct fingerprints for each value of the variant hash.
 PER_GROUP = 2048
 #: Variants unfolded at once.
-AT_ONCE = 1 << 23
+AT_ONCE = 1 << 20
 #: One bit of each byte.
 LANES = np.uint64(0x0101010101010101)
 

@@ -42,7 +42,7 @@ BAG = 300
 ROUNDS, STEP, LEAST_STEPS = 8, 128, 500
 SEED = 7
 #: Words whose inputs are kept by a worker.
-KEPT = 300_000
+KEPT = 120_000
 #: Windows run at once.
 BATCH = 4096
 EDGES = ".,;:!?\"'()[]{}<>-_*#"
@@ -106,7 +106,7 @@ class Network:
     def word_inputs(self, words: list[str]) -> np.ndarray:
         """(words, 2, 3h): what a word adds to the gates of either direction."""
         codes = Codes(words)
-        chars = np.add.reduceat(self.p["gram"][codes.gram], codes.first, axis=0) / codes.size[:, None]
+        chars = np.add.reduceat(self.p["gram"][codes.gram], codes.first, axis=0) / codes.size[:, None].astype(np.float32)
         x = np.concatenate([self.p["word"][codes.bucket], chars, self.stems(codes.stem)], axis=1)
         return (np.einsum("nw,dwg->ndg", x, self.p["in"], optimize=True) + self.p["bias"]).astype(np.float32)
 
@@ -114,7 +114,7 @@ class Network:
         """Mean embedding of the beginnings of words."""
         there = stem >= 0
         total = np.where(there[..., None], self.p["stem"][stem], np.float32(0)).sum(axis=1)
-        return total / np.maximum(there.sum(axis=1, keepdims=True), 1)
+        return total / np.maximum(there.sum(axis=1, keepdims=True), 1).astype(np.float32)
 
     def run(self, gates: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """Logits of windows from gate inputs (n, WINDOW, 2, 3h); mask: where there is a word, None for everywhere."""
@@ -228,7 +228,10 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
     if not len(docs) or target.min() == target.max():
         return None
     net = Network(seed)
-    codes = Codes(list(index))
+    words = list(index)
+    del index
+    codes = Codes(words)
+    inputs = np.empty((len(words), 2, 3 * HIDDEN), np.float32)
     odds = {}
     for name, at in (("word", codes.bucket[:, None]), ("stem", codes.stem)):
         present = np.zeros((2, len(net.p[name])))
@@ -250,7 +253,8 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
         owner.append(np.full(len(w), d))
     bags, masks, owner = np.concatenate(bags), np.concatenate(masks), np.concatenate(owner)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    score = np.where(masks, odds[bags], -9).max(axis=1)  # round one: by log-odds
+    del docs
+    score = np.where(masks, odds[bags].astype(np.float32), -9).max(axis=1)  # round one: by log-odds
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     clean = np.flatnonzero(target[owner] == 0)
     step = 0
@@ -269,7 +273,8 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
                 v *= 0.999
                 v += 0.001 * g * g
                 net.p[k] -= (0.01 if round_ < 0.75 * rounds else 0.003) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        inputs = np.concatenate([net.word_inputs(list(index)[i : i + 100_000]) for i in range(0, len(index), 100_000)])
+        for i in range(0, len(words), 16_384):
+            inputs[i : i + 16_384] = net.word_inputs(words[i : i + 16_384])
         score = np.concatenate([net.run(inputs[bags[i : i + BATCH]], masks[i : i + BATCH]) for i in range(0, len(bags), BATCH)])
     return net
 
@@ -284,7 +289,7 @@ class Scorer(dict):
 
     def reset(self):
         self.clear()
-        self.inputs = np.empty((1 << 16, 2, 3 * HIDDEN), np.float32)
+        self.inputs = np.empty((1 << 17, 2, 3 * HIDDEN), np.float32)
         self.known, self.pending = 0, []
 
     def __missing__(self, word: str) -> int:
