@@ -61,7 +61,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
         .agg(F.collect_set("__pos").alias("__removed"))
     )
     hits = materialize(hits)
-    return docs.withColumn("__hash", F.xxhash64("text")).join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text_hash")), "left").drop("__hash", "__id", "__text_hash")
+    # texts meet the positions by a merge join at every size: the plan does not turn from one size to another
+    return docs.withColumn("__hash", F.xxhash64("text")).join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text_hash")), "left").drop("__hash", "__id", "__text_hash")
 
 
 def _cleaned():
