@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -72,5 +75,29 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """The object of this worker process under key, made if it is missing.
+
+    A worker keeps one such table at a time: workers outlive the stages of a job, and the tables of one stage
+    must not add to the memory of the next.
+    """
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give back the memory of the table of an earlier stage."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the pages
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Word separators of the contracts: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

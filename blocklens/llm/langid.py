@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import held_out, ship
+from blocklens.llm.common import held_out, kept, ship
 
 DIM = 1024
 SEED = 2024
@@ -79,10 +79,9 @@ class Trigrams:
         return vector / max(float(np.linalg.norm(vector)), 1e-12)
 
 
-@lru_cache(maxsize=1)
 def trigrams() -> Trigrams:
     """One for each worker process."""
-    return Trigrams()
+    return kept("trigrams", Trigrams)
 
 
 def _bundle(batches):

@@ -21,14 +21,14 @@ import math
 import re
 import struct
 import zlib
-from functools import lru_cache, partial
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import materialize, ship
+from blocklens.llm.common import kept, materialize, ship
 
 END = 1
 OPEN_BINS = 512
@@ -79,14 +79,8 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordIds:
-    """One for each worker process."""
-    return WordIds(path)
-
-
 def _pieces(batches, path: str, length: int):
-    words = encoder(path)
+    words = kept(("word ids", path), lambda: WordIds(path))
     step = 4 * length
     for batch in batches:
         rows, piece, start, size, crc = [], [], [], [], []

@@ -266,13 +266,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 2) -> DataFra
     return linked(marks, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 2) -> DataFrame:
-    """docs with one row for each group of linked documents: that of the smallest doc_id; columns as given.
-
-    Of rows that repeat a doc_id one stays; rows without an id stay, as nothing tells them apart.
-    """
-    marks = linked(materialize(simhashes(docs, words)), radius)
-    gone = marks.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+@lru_cache(maxsize=8)
+def combos(bits: int, parities: int, radius: int) -> list[tuple[int, np.ndarray]]:
+    """flips() for fingerprints of fewer bits."""
+    return [(change, kept) for change, masks in flips(parities, radius) if len(kept := masks[masks < np.uint64(1 << bits)] if bits < BITS else masks)]

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache, partial
+from functools import partial
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import ship
+from blocklens.llm.common import kept, ship
 
 #: Pre-token pattern of the vocabulary's byte-level splitter (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,14 +123,8 @@ class MergeCounts(dict):
         return n
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> MergeCounts:
-    """One for each worker process."""
-    return MergeCounts(path)
-
-
 def _count(batches, path: str):
-    counts = counter(path)
+    counts = kept(("merge counts", path), lambda: MergeCounts(path))
     for batch in batches:
         texts = batch.column("__text").to_pylist()
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array([counts.count(t) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

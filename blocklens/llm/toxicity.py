@@ -18,7 +18,7 @@ an empty table gives an empty result; other columns are ignored or, in filtering
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from blocklens.llm.common import held_out, ship
+from blocklens.llm.common import held_out, kept, ship
 
 WINDOW, STRIDE = 16, 8
 WORD_BITS, GRAM_BITS, STEM_BITS = 17, 12, 16
@@ -341,8 +341,7 @@ class Scorer(dict):
             self.reset()
 
 
-@lru_cache(maxsize=1)
-def _scorer(key, shared) -> Scorer:
+def _scorer(shared) -> Scorer:
     net = Network.__new__(Network)
     net.p = shared.value
     return Scorer(net)
@@ -351,7 +350,7 @@ def _scorer(key, shared) -> Scorer:
 def _score(batches, shared, key, schema: pa.Schema):
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        scores = np.zeros(len(texts)) if shared is None else _scorer(key, shared).scores(texts)
+        scores = np.zeros(len(texts)) if shared is None else kept(("scorer", key), lambda: _scorer(shared)).scores(texts)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=schema)
 
 
