@@ -11,7 +11,7 @@ from blocklens.llm.linededup import dedup_lines
 from blocklens.llm.mixing import mix
 from blocklens.llm.packing import packed
 from blocklens.llm.queries import vocabulary
-from blocklens.llm.simhash import one_of_each
+from blocklens.llm.neardup import one_of_each
 from blocklens.llm.toxicity import drop_toxic
 
 
