@@ -19,8 +19,8 @@ def gap_filled(rows: DataFrame, time: str, width: int, sums: list[str], peaks: l
 
 
 def last_per_bucket(samples: DataFrame, width: int) -> DataFrame:
-    """bucket, t, executed: the last sample of every bucket."""
-    return samples.groupBy(bucket(F.col("t"), width).alias("bucket")).agg(F.max("t").alias("t"), F.max_by("executed", "t").alias("executed"))
+    """bucket, t, executed: the last sample of every bucket (of samples of one second, the largest)."""
+    return samples.groupBy(bucket(F.col("t"), width).alias("bucket")).agg(F.max(F.struct("t", "executed")).alias("s")).select("bucket", "s.t", "s.executed")
 
 
 def rates(points: DataFrame) -> DataFrame:
@@ -67,15 +67,15 @@ def usage_gap_filled(v):
     return gap_filled(rows, "sec", 900, ["requests", "units"], ["peak"]).select("t", "requests", "units", "peak")
 
 
-@query("AG12", "SELECT account % 3 AS chain, count(*) AS n, round(sum(CAST(k AS DOUBLE) * units) / sum(units), 6) AS p95 FROM usage GROUP BY 1", "usage")
+@query("AG12", "SELECT account % 3 AS chain, count(*) AS n, CAST(sum(k * units) * 1000 // sum(units) AS BIGINT) AS p95_milli FROM usage GROUP BY 1", "usage")
 def weighted_quantiles(v):
-    return v.usage.groupBy((F.col("account") % 3).alias("chain")).agg(F.count("*").alias("n"), F.round(weighted("k", "units"), 6).alias("p95"))
+    return v.usage.groupBy((F.col("account") % 3).alias("chain")).agg(F.count("*").alias("n"), F.floor(weighted("k", "units") * 1000).alias("p95_milli"))
 
 
-@query("AG13 WN10 TR11 TR12", "WITH l AS (SELECT sec // 3600 * 3600 AS bucket, max(sec) AS t, max_by(id, sec) AS executed FROM usage GROUP BY 1) SELECT bucket, t, executed, round(CASE WHEN t > lag(t) OVER (ORDER BY bucket) THEN greatest(0, (executed - lag(executed) OVER (ORDER BY bucket)) / (t - lag(t) OVER (ORDER BY bucket))::DOUBLE) END, 9) AS rate FROM l", "usage")
+@query("AG13 WN10 TR11 TR12", "WITH l AS (SELECT sec // 3600 * 3600 AS bucket, max(sec) AS t, max_by(id, sec * 1000000000 + id) AS executed FROM usage GROUP BY 1) SELECT bucket, t, executed, CAST(floor(1000000 * CASE WHEN t > lag(t) OVER (ORDER BY bucket) THEN greatest(0, (executed - lag(executed) OVER (ORDER BY bucket)) / (t - lag(t) OVER (ORDER BY bucket))::DOUBLE) END) AS BIGINT) AS micro_rate FROM l", "usage")
 def head_rate(v):
     points = last_per_bucket(v.usage.select(F.col("sec").alias("t"), F.col("id").alias("executed")), 3600)
-    return rates(points).withColumn("rate", F.round("rate", 9))
+    return rates(points).select("bucket", "t", "executed", F.floor(F.col("rate") * 1_000_000).alias("micro_rate"))
 
 
 @query("JN18", "SELECT c.chain, coalesce(t.requests, 0) AS requests, CAST(coalesce(t.units, 0) AS BIGINT) AS units FROM (SELECT unnest(range(0, 260)) AS chain) c LEFT JOIN (SELECT account AS chain, count(*) AS requests, sum(units) AS units FROM usage GROUP BY 1) t ON c.chain = t.chain ORDER BY requests DESC", "usage")
@@ -106,10 +106,10 @@ def upper_medians(v):
     return ranked.where(F.col("upto") >= F.floor(F.col("n") / 2) + 1).groupBy("cls").agg(F.min("us").alias("median"))
 
 
-@query("AG17", f"WITH {SAMPLES} SELECT user % 5 AS stage, count(*) AS calls, round(count(*) / (max(sec) - min(sec))::DOUBLE, 9) AS rps, round(100.0 * count(*) FILTER (WHERE NOT ok) / count(*), 6) AS error_rate, round(sum(credits) / count(*)::DOUBLE, 6) AS credits FROM samples GROUP BY 1", "usage")
+@query("AG17", f"WITH {SAMPLES} SELECT user % 5 AS stage, count(*) AS calls, CAST(count(*) * 1000000 // (max(sec) - min(sec)) AS BIGINT) AS micro_rps, CAST(10000 * count(*) FILTER (WHERE NOT ok) // count(*) AS BIGINT) AS error_bp, CAST(sum(credits) * 1000 // count(*) AS BIGINT) AS milli_credits FROM samples GROUP BY 1", "usage")
 def stage_throughput(v):
     n = F.count("*")
-    return samples(v).groupBy((F.col("user") % 5).alias("stage")).agg(n.alias("calls"), F.round(n / (F.max("sec") - F.min("sec")), 9).alias("rps"), F.round(100.0 * F.count_if("bad") / n, 6).alias("error_rate"), F.round(F.sum("credits") / n, 6).alias("credits"))
+    return samples(v).groupBy((F.col("user") % 5).alias("stage")).agg(n.alias("calls"), F.floor(n * 1_000_000 / (F.max("sec") - F.min("sec"))).alias("micro_rps"), F.floor(10_000 * F.count_if("bad") / n).alias("error_bp"), F.floor(F.sum("credits") * 1000 / n).alias("milli_credits"))
 
 
 @query("AG18", "SELECT plan, CAST(included // 20 AS BIGINT) AS requests, round(included / 20.0 / rps / 3600, 6) AS hours, CASE WHEN included > 0 THEN round(cents / 100.0 / (included / 20.0 / 1000000), 6) END AS revenue FROM (VALUES ('builder', 1900, 600000000, 250), ('growth', 8900, 3000000000, 1000), ('scale', 59900, 20000000000, 3000)) p(plan, cents, included, rps)")
@@ -121,12 +121,12 @@ def plan_economics(v):
     return rows.select("plan", F.floor(calls).alias("requests"), F.round(calls / F.col("rps") / 3600, 6).alias("hours"), F.when(F.col("included") > 0, F.round(F.col("cents") / 100.0 / (calls / 1_000_000), 6)).alias("revenue"))
 
 
-@query("AG19 AG38", "WITH p AS (SELECT * FROM (VALUES ('view', 3), ('click', 5), ('purchase', 11), ('error', 1)) p(method, nano)) SELECT u.method, coalesce(p.nano, 2) AS nano, CAST(sum(units) AS BIGINT) AS units, CAST(sum(units) * coalesce(p.nano, 2) AS BIGINT) AS cost, round(sum(units) * coalesce(p.nano, 2) * 1000000 / count(*)::DOUBLE, 3) AS per_million FROM usage u LEFT JOIN p ON u.method = p.method GROUP BY u.method, p.nano", "usage")
+@query("AG19 AG38", "WITH p AS (SELECT * FROM (VALUES ('view', 3), ('click', 5), ('purchase', 11), ('error', 1)) p(method, nano)) SELECT u.method, coalesce(p.nano, 2) AS nano, CAST(sum(units) AS BIGINT) AS units, CAST(sum(units) * coalesce(p.nano, 2) AS BIGINT) AS cost, CAST(sum(units) * coalesce(p.nano, 2) * 1000000 // count(*) AS BIGINT) AS per_million FROM usage u LEFT JOIN p ON u.method = p.method GROUP BY u.method, p.nano", "usage")
 def cost_model(v):
     prices = v.spark.createDataFrame([("view", 3), ("click", 5), ("purchase", 11), ("error", 1)], "method string, nano int")
     totals = v.usage.groupBy("method").agg(F.sum("units").alias("units"), F.count("*").alias("n"))
     nano = F.coalesce("nano", F.lit(2))
-    return totals.join(prices, "method", "left").select("method", nano.alias("nano"), "units", (F.col("units") * nano).alias("cost"), F.round(F.col("units") * nano * 1_000_000 / F.col("n"), 3).alias("per_million"))
+    return totals.join(prices, "method", "left").select("method", nano.alias("nano"), "units", (F.col("units") * nano).alias("cost"), F.floor(F.col("units") * nano * 1_000_000 / F.col("n")).alias("per_million"))
 
 
 @query("JN16 ST08", f"WITH {SAMPLES}, a AS (SELECT label || cls AS label, count(*) AS n FROM samples WHERE user < 90 GROUP BY 1), b AS (SELECT label || cls AS label, count(*) AS n FROM samples WHERE user >= 60 AND label <> 'error' GROUP BY 1) SELECT coalesce(a.label, b.label) AS label, a.n AS before, b.n AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS change FROM a FULL JOIN b ON a.label = b.label", "usage")
@@ -152,10 +152,10 @@ def load_ramp(v):
     return stages.crossJoin(F.broadcast(first_bad)).where("stage < stop").select("stage", "calls")  # the right side is one row
 
 
-@query("AG36", f"WITH {SAMPLES}, g AS (SELECT label, cls, count(*) AS n, CAST(sum(us) AS BIGINT) AS total, round(avg(us), 6) AS mean FROM samples GROUP BY label, cls), a AS ({_rank_sql(50, 'label, cls')}) SELECT g.label, g.cls, g.n, total, mean, p50 FROM g JOIN a ON g.label = a.label AND g.cls = a.cls", "usage")
+@query("AG36", f"WITH {SAMPLES}, g AS (SELECT label, cls, count(*) AS n, CAST(sum(us) AS BIGINT) AS total, CAST(sum(us) // count(*) AS BIGINT) AS mean FROM samples GROUP BY label, cls), a AS ({_rank_sql(50, 'label, cls')}) SELECT g.label, g.cls, g.n, total, mean, p50 FROM g JOIN a ON g.label = a.label AND g.cls = a.cls", "usage")
 def cpu_profile(v):
     rows = samples(v)
-    g = rows.groupBy("label", "cls").agg(F.sum("us").alias("total"), F.round(F.avg("us"), 6).alias("mean"))
+    g = rows.groupBy("label", "cls").agg(F.sum("us").alias("total"), F.floor(F.sum("us") / F.count("us")).alias("mean"))
     return g.join(nearest_rank(rows, ["label", "cls"], "us", [50]), ["label", "cls"]).select("label", "cls", "n", "total", "mean", "p50")
 
 
