@@ -92,9 +92,9 @@ class Store:
         return new
 
     def write(self, kind: str, df: DataFrame, first: int, last: int, sort: list[str]) -> Segment:
-        """An immutable object of df, sorted inside its files so that row groups prune."""
+        """An immutable object of df, sorted inside its files so that row groups prune; Bloom filters on the first key."""
         name = f"{kind}/{first:012d}-{last:012d}-{uuid.uuid4().hex[:12]}"
-        df.repartitionByRange(*sort).sortWithinPartitions(*sort).write.mode("errorifexists").parquet(f"{self.root}/{name}")
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).write.mode("errorifexists").option(f"parquet.bloom.filter.enabled#{sort[0]}", "true").parquet(f"{self.root}/{name}")
         return Segment(kind, name, first, last)
 
     def read(self, pin: Manifest, kind: str, schema: T.StructType, first: int = 0, last: int = 1 << 62) -> DataFrame:

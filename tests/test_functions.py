@@ -149,3 +149,18 @@ def test_promotion_target():
     assert promotion_target(-1, 100, 256, 8, 0, 3600, 4) is None
     assert promotion_target(-1, 100, 256, 8, 7200, 3600, 4) == 95
     assert promotion_target(99, 99, 256, 8, 7200, 3600, 4) is None
+
+
+def test_gas_search():
+    from blocklens.functions.search import gas_needed
+
+    asked = []
+
+    def at(need):
+        return lambda gas: asked.append(gas) or gas >= need
+
+    assert gas_needed(at(0), 10**7) == 21_000 and gas_needed(at(10**8), 10**7) is None
+    for need in (21_001, 50_000, 123_456, 4_999_999):
+        asked.clear()
+        found = gas_needed(at(need), 5 * 10**6, peak=need - 2_000)
+        assert need <= found <= need * 1.016 + 1 and len(asked) <= 28
