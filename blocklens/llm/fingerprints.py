@@ -32,8 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from blocklens.llm.common import materialize, ship
 
-#: log2 of the bits of the bucket bitmap (2 MiB at 24).
-PREFIX_BITS = 24
+#: log2 of the bits of the bucket bitmap (128 KiB at 20).
+PREFIX_BITS = 20
 #: Documents in an id range, at least; the ranges are as many as cells at most.
 PER_RANGE = 1024
 CELLS = 65_534

@@ -9,9 +9,15 @@ collisions stay rare. Both numbers follow from the number of documents and the a
     tables  as many as find a pair at the threshold with the asked probability
 
 In a table every fingerprint emits its variants within half the radius, which meet by their variant hash as in
-simhash.py; of the documents with one variant each pairs with the smallest. Pairs are deduplicated and verified
-by the differing bits of all fingerprints together (64 bits of each), whose share estimates the angle between
-the shingle sets; one standard error is granted. Links make components; the smallest id of each stays.
+simhash.py; of the documents with one variant each pairs with the most central. Pairs are deduplicated and verified:
+the differing bits of all fingerprints together (64 bits of each) estimate the angle between the shingle sets
+and decide where they are clear; pairs near the threshold are settled by the Jaccard similarity of the sets
+themselves, which are made again for their documents only. Links make components; the smallest id of each stays.
+
+The fingerprints are worked off in rounds, two first and then twice as many each time. Documents found to be
+copies leave after each round: the first fingerprints thin a dense group of copies out, so the pairs of later
+rounds grow with the documents, not with the square of a group. What stays holds no near copies (to the asked
+recall); two documents that are similar only to a third that has left may both stay.
 
 Defined results: documents without words are copies of each other; of rows that repeat an id one stays; rows
 without an id stay, as nothing tells them apart; an empty table gives an empty result; columns pass through.
@@ -27,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import materialize, release, ship
+from blocklens.llm.common import materialize, maybe_in, release, ship
 from blocklens.llm.simhash import AT_ONCE, SEED, combos, components, majority, shingle_hashes
 
 RADIUS = 2
 RECALL = 0.95
+#: Standard errors around the threshold inside which pairs are settled exactly.
+UNCLEAR = 3.0
 #: Distinct documents for each variant hash of a table.
 PER_GROUP = 8192
 
@@ -70,8 +78,17 @@ def _signatures(batches, words: int, tables: int):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.binary())], ["doc_id", "sig"])
 
 
-def _emitted(batches, bits: int, tables: int, parities: int):
-    """(doc_id, sig) -> a row for each table and class of flips: h (table and variant hash), c, fp, doc_id."""
+def rounds(tables: int) -> list[range]:
+    """Tables of each round."""
+    out, at, size = [], 0, 2
+    while at < tables:
+        out.append(range(at, min(at + size, tables)))
+        at, size = at + size, 2 * size
+    return out
+
+
+def _emitted(batches, bits: int, chosen: range, parities: int):
+    """(doc_id, sig) -> a row for each chosen table and class of flips: h (table and variant hash), c, fp, doc_id."""
     classes = combos(bits, parities, RADIUS)
     changes = np.array([x for x, _ in classes], np.int64)
     masks = [np.uint64(sum(1 << p for p in range(j, bits, parities))) for j in range(parities)]
@@ -79,21 +96,24 @@ def _emitted(batches, bits: int, tables: int, parities: int):
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
-            fps = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u8").reshape(-1, tables) & low
+            fps = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u8").reshape(batch.num_rows, -1)[:, list(chosen)] & low
             own = np.zeros(fps.shape, np.int64)
             for j, mask in enumerate(masks):
                 own |= (np.bitwise_count(fps & mask).astype(np.int64) & 1) << j
-            own += np.arange(tables, dtype=np.int64) << parities
+            own += np.array(chosen, dtype=np.int64) << parities
             h = own[:, :, None] ^ changes[None, None, :]
             n = len(classes)
-            ids = np.repeat(batch.column("doc_id").to_numpy(), tables * n)
+            ids = np.repeat(batch.column("doc_id").to_numpy(), len(chosen) * n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.ravel().astype(np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int16), fps.size)), pa.array(np.repeat(fps.ravel(), n).view(np.int64)), pa.array(ids, pa.int64())], ["h", "c", "fp", "doc_id"]
             )
 
 
 def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, classes) -> np.ndarray:
-    """Pairs (smallest, other) of the documents of one variant hash that share a variant."""
+    """Pairs of the documents of one variant hash that share a variant: a star for each variant.
+
+    The centre is the member that shares most variants, so that the stars of a dense group have few centres.
+    """
     members = []
     for i, (_, masks) in enumerate(classes):
         at = np.flatnonzero(c == i)
@@ -121,12 +141,15 @@ def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, classes) -> np
             continue
         place = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
         hit = shared[place] == v
-        place, who = place[hit], ids[o[hit]]
-        order = np.lexsort((who, place))
+        place, row = place[hit], o[hit]
+        shares = np.bincount(row, minlength=len(ids))[row]
+        who = ids[row]
+        order = np.lexsort((who, -shares, place))
         place, who = place[order], who[order]
         first = np.concatenate(([True], place[1:] != place[:-1]))
-        least = who[first][np.cumsum(first) - 1]
-        found.append(np.unique(np.stack([least, who], axis=1)[least != who], axis=0))
+        centre = who[first][np.cumsum(first) - 1]
+        other = centre != who
+        found.append(np.unique(np.stack([np.minimum(centre, who)[other], np.maximum(centre, who)[other]], axis=1), axis=0))
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
 
@@ -153,25 +176,55 @@ def _pairs(batches, bits: int, parities: int):
         yield done()
 
 
-def _near(batches, most: int):
-    """Rows (a, b, sa, sb) whose signatures differ in at most `most` bits."""
+def _distances(batches):
+    """Rows (a, b, sa, sb) -> a, b and the differing bits of their signatures."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u8").reshape(batch.num_rows, -1) for n in ("sa", "sb"))
-        keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))], ["a", "b", "d"])
+
+
+def _shingle_sets(batches, words: int):
+    release()
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t, words, SEED)).tobytes() for t in batch.column("__text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+
+def _similar(batches, similarity: float):
+    """Rows (a, b, sa, sb) whose shingle sets have at least that Jaccard similarity."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-def near_links(heads: DataFrame, n: int, similarity: float, bits: int, tables: int) -> DataFrame:
-    """a, b: verified links between heads (doc_id, sig)."""
+def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """pairs (a, b) with the value of either side as sa and sb."""
+    left, right = (table.select(F.col("doc_id").alias(k), F.col(value).alias(f"s{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+
+
+def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity: float, bits: int, tables: int, chosen: range) -> DataFrame:
+    """a, b: verified links between heads (doc_id, sig) that the chosen tables find; docs: doc_id, __text."""
     parities = min(16, max(4, math.ceil(math.log2(max(1, n) / PER_GROUP))))
-    rows = heads.mapInArrow(partial(_emitted, bits=bits, tables=tables, parities=parities), "h int, c short, fp long, doc_id long")
+    rows = heads.mapInArrow(partial(_emitted, bits=bits, chosen=chosen, parities=parities), "h int, c short, fp long, doc_id long")
     pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_pairs, bits=bits, parities=parities), "a long, b long").distinct()
-    p = differing_share(similarity)
-    most = math.floor(64 * tables * p + math.sqrt(64 * tables * p * (1 - p)))
-    left, right = (heads.select(F.col("doc_id").alias(k), F.col("sig").alias(f"s{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(partial(_near, most=most), "a long, b long")
+    p, size = differing_share(similarity), 64 * tables
+    error = UNCLEAR * math.sqrt(size * p * (1 - p))
+    judged = materialize(_with_both(pairs, heads, "sig").mapInArrow(_distances, "a long, b long, d long").where(F.col("d") <= size * p + error))
+    clear, unclear = judged.where(F.col("d") < size * p - error).select("a", "b"), judged.where(F.col("d") >= size * p - error).select("a", "b")
+    if unclear.isEmpty():
+        return clear
+    asked = unclear.select(F.col("a").alias("doc_id")).unionByName(unclear.select(F.col("b").alias("doc_id")))
+    sets = docs.where(maybe_in(asked)).mapInArrow(partial(_shingle_sets, words=words), "doc_id long, shingles binary")
+    sets = materialize(sets.join(asked.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+    return clear.unionByName(_with_both(unclear, sets, "shingles").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
@@ -179,13 +232,15 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     ship(docs.sparkSession)
     bits, tables = shape(docs.count(), similarity, recall)
     named = docs.where("doc_id is not null")
-    marks = materialize(named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text")).mapInArrow(partial(_signatures, words=words, tables=tables), "doc_id long, sig binary"))
+    texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
+    marks = materialize(texts.mapInArrow(partial(_signatures, words=words, tables=tables), "doc_id long, sig binary"))
     # equal signatures are copies; an id with several texts counts with the smallest signature
     heads = materialize(marks.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min("sig").alias("sig")))
-    links = materialize(near_links(heads, heads.count(), similarity, bits, tables))
+    for chosen in rounds(tables):
+        links = materialize(near_links(texts, heads, heads.count(), words, similarity, bits, tables, chosen))
+        if not links.isEmpty():
+            roots = components(links)
+            heads = materialize(heads.join(roots.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti"))
     keep = heads.select("doc_id")
-    if not links.isEmpty():
-        roots = components(links)
-        keep = keep.join(roots.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     kept = named.join(keep.hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # the same plan at every size
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
