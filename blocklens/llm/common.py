@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,22 +76,27 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-#: log2 of the bits of an id bitmap (512 KiB).
-BITMAP_BITS = 22
+#: log2 of the bits of an id bitmap (128 KiB).
+BITMAP_BITS = 20
 
 
-def maybe_in(ids: DataFrame, column: str = "doc_id"):
-    """A condition on `column` that holds for all ids and few others: a bitmap of fixed size as a binary literal.
+def id_bitmap(ids: DataFrame, column: str = "doc_id") -> bytes:
+    """A bitmap of fixed size of the ids modulo its bits, for in_bitmap.
 
     It spares a shuffle of texts where few are wanted; a join with ids afterwards makes it exact.
     """
-    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << BITMAP_BITS))
+    place = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))
     bits = bytearray(1 << (BITMAP_BITS - 3))
-    for at, word in ids.groupBy(F.floor(place / 32).alias("at")).agg(F.bit_or(bit).alias("word")).collect():  # at most 2^17 rows
+    for at, word in ids.groupBy(F.floor(place / 32).alias("at")).agg(F.bit_or(bit).alias("word")).collect():  # at most 2^15 rows
         bits[4 * at : 4 * at + 4] = word.to_bytes(4, "little")
-    byte = F.conv(F.hex(F.substring(F.lit(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+    return bytes(bits)
+
+
+def in_bitmap(ids: np.ndarray, bitmap: bytes) -> np.ndarray:
+    """True for all ids of the bitmap and few others."""
+    place = ids & ((1 << BITMAP_BITS) - 1)
+    return np.frombuffer(bitmap, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
 
 
 _KEPT: dict = {}

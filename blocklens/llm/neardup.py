@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import materialize, maybe_in, release, ship
+from blocklens.llm.common import id_bitmap, in_bitmap, materialize, release, ship
 from blocklens.llm.simhash import AT_ONCE, SEED, combos, components, majority, shingle_hashes
 
 RADIUS = 2
@@ -185,9 +185,11 @@ def _distances(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))], ["a", "b", "d"])
 
 
-def _shingle_sets(batches, words: int):
+def _shingle_sets(batches, words: int, bitmap: bytes):
+    """doc_id and shingle set of the documents of the bitmap."""
     release()
-    for batch in batches:
+    for whole in batches:
+        batch = whole.filter(pa.array(in_bitmap(whole.column("doc_id").to_numpy(), bitmap)))
         sets = [np.unique(shingle_hashes(t, words, SEED)).tobytes() for t in batch.column("__text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
@@ -222,7 +224,7 @@ def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity
     if unclear.isEmpty():
         return clear
     asked = unclear.select(F.col("a").alias("doc_id")).unionByName(unclear.select(F.col("b").alias("doc_id")))
-    sets = docs.where(maybe_in(asked)).mapInArrow(partial(_shingle_sets, words=words), "doc_id long, shingles binary")
+    sets = docs.mapInArrow(partial(_shingle_sets, words=words, bitmap=id_bitmap(asked)), "doc_id long, shingles binary")
     sets = materialize(sets.join(asked.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
     return clear.unionByName(_with_both(unclear, sets, "shingles").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
 
