@@ -110,3 +110,23 @@ def test_running_total_and_islands(spark):
             want.append((first, a))
             first = b
     assert runs == want
+
+
+def test_token_buckets_admit_in_event_order(spark, tmp_path):
+    from blocklens.streaming.buckets import admit, refill
+
+    rows = [(k, float(t)) for k in (1, 2) for t in (0, 0.1, 0.2, 0.3, 5, 5.1, 20)]
+    source = str(tmp_path / "calls")
+    frame = spark.createDataFrame(rows, "key long, at double")
+    frame.write.parquet(source)
+    stream = admit(spark.readStream.schema(frame.schema).parquet(source), rate=0.5, burst=2)
+    stream.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["key"], r["at"], r["admitted"]) for r in spark.table("admitted").collect())
+    want = []
+    for k in (1, 2):
+        tokens, last = 2.0, 0.0
+        for at in sorted(t for key, t in rows if key == k):
+            tokens, last = refill(tokens, at - last, 0.5, 2), at
+            want.append((k, at, tokens >= 1))
+            tokens -= tokens >= 1
+    assert got == want and {x[2] for x in got} == {True, False}
