@@ -53,7 +53,9 @@ class Codes:
     buckets of beginnings (-1: the word is shorter)."""
 
     def __init__(self, words: list[str]):
-        self.bucket, self.gram, self.first, self.stem = word_codes(words)
+        parts = [word_codes(words[i : i + 16_384]) for i in range(0, len(words), 16_384)]  # bounds what hashing takes
+        self.bucket, self.gram, first, self.stem = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.first = first + np.repeat(np.cumsum([0, *(len(p[1]) for p in parts[:-1])]), [len(p[0]) for p in parts])
         self.size = np.diff(np.append(self.first, len(self.gram)))
 
 
