@@ -14,7 +14,7 @@ the differing bits of all fingerprints together (64 bits of each) estimate the a
 and decide where they are clear; pairs near the threshold are settled by the Jaccard similarity of the sets
 themselves, which are made again for their documents only. Links make components; the smallest id of each stays.
 
-The fingerprints are worked off in rounds, two first and then twice as many each time. Documents found to be
+The fingerprints are worked off in rounds, one first and then twice as many each time. Documents found to be
 copies leave after each round: the first fingerprints thin a dense group of copies out, so the pairs of later
 rounds grow with the documents, not with the square of a group. What stays holds no near copies (to the asked
 recall); two documents that are similar only to a third that has left may both stay.
@@ -42,6 +42,8 @@ RECALL = 0.95
 UNCLEAR = 3.0
 #: Distinct documents for each variant hash of a table.
 PER_GROUP = 8192
+#: Pairs that a task holds before it passes them on.
+HELD = 1 << 20
 
 
 def differing_share(similarity: float) -> float:
@@ -80,7 +82,7 @@ def _signatures(batches, words: int, tables: int):
 
 def rounds(tables: int) -> list[range]:
     """Tables of each round."""
-    out, at, size = [], 0, 2
+    out, at, size = [], 0, 1
     while at < tables:
         out.append(range(at, min(at + size, tables)))
         at, size = at + size, 2 * size
@@ -154,12 +156,17 @@ def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, classes) -> np
 
 
 def _pairs(batches, bits: int, parities: int):
+    """Rows sorted by hash -> pairs; a pair that several hashes of a partition find counts once."""
     classes = combos(bits, parities, RADIUS)
-    key, parts = None, []
+    key, parts, found = None, [], []
 
-    def done():
-        pairs = _group_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)), classes)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def done(last: bool):
+        if parts:
+            found.append(_group_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)), classes))
+        if found and (last or sum(map(len, found)) >= HELD):
+            pairs = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
         h, c, fp, ids = (batch.column(n).to_numpy() for n in ("h", "c", "fp", "doc_id"))
@@ -168,12 +175,11 @@ def _pairs(batches, bits: int, parities: int):
         edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if key is not None and h[lo] != key:
-                yield done()
+                yield from done(False)
                 parts = []
             key = h[lo]
             parts.append((c[lo:hi], fp[lo:hi].view(np.uint64), ids[lo:hi]))
-    if key is not None:
-        yield done()
+    yield from done(True)
 
 
 def _distances(batches):
