@@ -14,10 +14,10 @@ the differing bits of all fingerprints together (64 bits of each) estimate the a
 and decide where they are clear; pairs near the threshold are settled by the Jaccard similarity of the sets
 themselves, which are made again for their documents only. Links make components; the smallest id of each stays.
 
-The fingerprints are worked off in rounds, one first and then twice as many each time. Documents found to be
-copies leave after each round: the first fingerprints thin a dense group of copies out, so the pairs of later
-rounds grow with the documents, not with the square of a group. What stays holds no near copies (to the asked
-recall); two documents that are similar only to a third that has left may both stay.
+The fingerprints are worked off in rounds, one first and then twice as many each time. All documents take part in
+all rounds and all links count; only pairs that the links of earlier rounds already connect are not made again, as
+they add nothing to the components. The first fingerprints connect a dense group of copies, so its pairs of later
+rounds do not grow with its square. Components are those of the links of all rounds.
 
 Defined results: documents without words are copies of each other; of rows that repeat an id one stays; rows
 without an id stay, as nothing tells them apart; an empty table gives an empty result; columns pass through.
@@ -90,7 +90,7 @@ def rounds(tables: int) -> list[range]:
 
 
 def _emitted(batches, bits: int, chosen: range, parities: int):
-    """(doc_id, sig) -> a row for each chosen table and class of flips: h (table and variant hash), c, fp, doc_id."""
+    """(doc_id, sig, root) -> a row for each chosen table and class of flips: h (table and variant hash), c, fp, doc_id, root."""
     classes = combos(bits, parities, RADIUS)
     changes = np.array([x for x, _ in classes], np.int64)
     masks = [np.uint64(sum(1 << p for p in range(j, bits, parities))) for j in range(parities)]
@@ -105,14 +105,15 @@ def _emitted(batches, bits: int, chosen: range, parities: int):
             own += np.array(chosen, dtype=np.int64) << parities
             h = own[:, :, None] ^ changes[None, None, :]
             n = len(classes)
-            ids = np.repeat(batch.column("doc_id").to_numpy(), len(chosen) * n)
+            ids, roots = (np.repeat(batch.column(x).to_numpy(), len(chosen) * n) for x in ("doc_id", "root"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.ravel().astype(np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int16), fps.size)), pa.array(np.repeat(fps.ravel(), n).view(np.int64)), pa.array(ids, pa.int64())], ["h", "c", "fp", "doc_id"]
+                [pa.array(h.ravel().astype(np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int16), fps.size)), pa.array(np.repeat(fps.ravel(), n).view(np.int64)), pa.array(ids, pa.int64()), pa.array(roots, pa.int64())],
+                ["h", "c", "fp", "doc_id", "root"],
             )
 
 
-def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, classes) -> np.ndarray:
-    """Pairs of the documents of one variant hash that share a variant: a star for each variant.
+def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, classes) -> np.ndarray:
+    """Pairs of the documents of one variant hash that share a variant: a star for each variant, without pairs of one root.
 
     The centre is the member that shares most variants, so that the stars of a dense group have few centres.
     """
@@ -147,10 +148,10 @@ def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, classes) -> np
         shares = np.bincount(row, minlength=len(ids))[row]
         who = ids[row]
         order = np.lexsort((who, -shares, place))
-        place, who = place[order], who[order]
+        place, who, root = place[order], who[order], roots[row][order]
         first = np.concatenate(([True], place[1:] != place[:-1]))
-        centre = who[first][np.cumsum(first) - 1]
-        other = centre != who
+        star = np.cumsum(first) - 1
+        centre, other = who[first][star], root[first][star] != root
         found.append(np.unique(np.stack([np.minimum(centre, who)[other], np.maximum(centre, who)[other]], axis=1), axis=0))
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
@@ -169,7 +170,7 @@ def _pairs(batches, bits: int, parities: int):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
-        h, c, fp, ids = (batch.column(n).to_numpy() for n in ("h", "c", "fp", "doc_id"))
+        h, c, fp, ids, roots = (batch.column(n).to_numpy() for n in ("h", "c", "fp", "doc_id", "root"))
         if not len(h):
             continue
         edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
@@ -178,7 +179,7 @@ def _pairs(batches, bits: int, parities: int):
                 yield from done(False)
                 parts = []
             key = h[lo]
-            parts.append((c[lo:hi], fp[lo:hi].view(np.uint64), ids[lo:hi]))
+            parts.append((c[lo:hi], fp[lo:hi].view(np.uint64), ids[lo:hi], roots[lo:hi]))
     yield from done(True)
 
 
@@ -219,9 +220,9 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 
 def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity: float, bits: int, tables: int, chosen: range) -> DataFrame:
-    """a, b: verified links between heads (doc_id, sig) that the chosen tables find; docs: doc_id, __text."""
+    """a, b: verified links between heads (doc_id, sig, root) of different roots that the chosen tables find; docs: doc_id, __text."""
     parities = min(16, max(4, math.ceil(math.log2(max(1, n) / PER_GROUP))))
-    rows = heads.mapInArrow(partial(_emitted, bits=bits, chosen=chosen, parities=parities), "h int, c short, fp long, doc_id long")
+    rows = heads.mapInArrow(partial(_emitted, bits=bits, chosen=chosen, parities=parities), "h int, c short, fp long, doc_id long, root long")
     pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_pairs, bits=bits, parities=parities), "a long, b long").distinct()
     p, size = differing_share(similarity), 64 * tables
     error = UNCLEAR * math.sqrt(size * p * (1 - p))
@@ -235,6 +236,12 @@ def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity
     return clear.unionByName(_with_both(unclear, sets, "shingles").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
 
 
+def _rooted(heads: DataFrame, links: DataFrame) -> DataFrame:
+    """heads with the smallest document that the links connect them with as root."""
+    roots = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("__root"))
+    return heads.join(roots, "doc_id", "left").select("doc_id", "sig", F.coalesce("__root", "root").alias("root"))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
     """docs with one row for each group of near copies; columns as given."""
     ship(docs.sparkSession)
@@ -244,11 +251,13 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     marks = materialize(texts.mapInArrow(partial(_signatures, words=words, tables=tables), "doc_id long, sig binary"))
     # equal signatures are copies; an id with several texts counts with the smallest signature
     heads = materialize(marks.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min("sig").alias("sig")))
+    n, links = heads.count(), None
+    heads = heads.withColumn("root", F.col("doc_id"))
     for chosen in rounds(tables):
-        links = materialize(near_links(texts, heads, heads.count(), words, similarity, bits, tables, chosen))
-        if not links.isEmpty():
-            roots = components(links)
-            heads = materialize(heads.join(roots.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti"))
-    keep = heads.select("doc_id")
+        found = materialize(near_links(texts, heads, n, words, similarity, bits, tables, chosen))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            heads = materialize(_rooted(heads, links))
+    keep = heads.where("doc_id = root").select("doc_id")
     kept = named.join(keep.hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # the same plan at every size
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

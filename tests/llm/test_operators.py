@@ -234,6 +234,18 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert shape(1000, 0.8) == (40, 11) and shape(1 << 35, 0.8)[0] == 57
 
 
+def test_chains_leave_one_document(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for g in range(150):
+        text = [word() for _ in range(204)]
+        for k, places in ((1, ()), (0, (20, 60, 100)), (2, (140, 170, 190))):  # 0 - 1 - 2: links at 0.86, the ends at 0.74
+            rows.append((g * 10 + k, " ".join(word() if i in places else w for i, w in enumerate(text))))
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (kept >= {g * 10 for g in range(150)}, len(kept) <= 153) == (True, True), len(kept)
+
+
 # --- lines, mixing
 
 
