@@ -9,7 +9,7 @@ collisions stay rare. Both numbers follow from the number of documents and the a
     tables  as many as find a pair at the threshold with the asked probability
 
 In a table every fingerprint emits its variants within half the radius, which meet by their variant hash as in
-simhash.py; of the documents with one variant each pairs with the most central. Pairs are deduplicated and verified:
+simhash.py. Pairs are deduplicated and verified:
 the differing bits of all fingerprints together (64 bits of each) estimate the angle between the shingle sets
 and decide where they are clear; pairs near the threshold are settled by the Jaccard similarity of the sets
 themselves, which are made again for their documents only. Links make components; the smallest id of each stays.
@@ -19,6 +19,11 @@ all rounds and all links count; only pairs that the links of earlier rounds alre
 they add nothing to the components. The first fingerprints connect a dense group of copies, so its pairs of later
 rounds do not grow with its square. Components are those of the links of all rounds.
 
+In the rounds each document of a variant pairs only with the most central one, which connects most copies with few
+pairs. A shared variant does not prove a link, so a last pass over all fingerprints pairs every two documents that
+share a variant and are not connected yet. Its pairs grow with the square of a family of documents that are just
+below the threshold to each other; nothing but the verification of each can tell which of them are copies.
+
 Defined results: documents without words are copies of each other; of rows that repeat an id one stays; rows
 without an id stay, as nothing tells them apart; an empty table gives an empty result; columns pass through.
 """
@@ -42,6 +47,10 @@ RECALL = 0.95
 UNCLEAR = 3.0
 #: Distinct documents for each variant hash of a table.
 PER_GROUP = 8192
+#: Documents of a variant up to which its pairs are listed from the variant; above, by blocks of documents.
+FEW = 8
+#: Documents of a block and those it is compared with at once.
+BLOCK, ACROSS = 512, 8192
 #: Pairs that a task holds before it passes them on.
 HELD = 1 << 20
 
@@ -112,18 +121,14 @@ def _emitted(batches, bits: int, chosen: range, parities: int):
             )
 
 
-def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, classes) -> np.ndarray:
-    """Pairs of the documents of one variant hash that share a variant: a star for each variant, without pairs of one root.
-
-    The centre is the member that shares most variants, so that the stars of a dense group have few centres.
-    """
+def _shared_variants(c: np.ndarray, fps: np.ndarray, classes):
+    """Slices of the variants of one variant hash: those that several documents share, and place (of the variant) and row of each that has one."""
     members = []
     for i, (_, masks) in enumerate(classes):
         at = np.flatnonzero(c == i)
         members.append((at, masks))
     total = sum(len(at) * len(masks) for at, masks in members)
     slices = 1 << max(0, math.ceil(math.log2(max(1, total) / AT_ONCE)))
-    found = []
     for s in range(slices):
         variants, owners = [], []
         for at, masks in members:
@@ -145,6 +150,15 @@ def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndar
         place = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
         hit = shared[place] == v
         place, row = place[hit], o[hit]
+        yield shared, place, row
+
+
+def _star_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, classes):
+    """Pairs of the documents of one variant hash that share a variant: a star for each variant, without pairs of one root.
+
+    The centre is the member that shares most variants, so that the stars of a dense group have few centres.
+    """
+    for _, place, row in _shared_variants(c, fps, classes):
         shares = np.bincount(row, minlength=len(ids))[row]
         who = ids[row]
         order = np.lexsort((who, -shares, place))
@@ -152,22 +166,76 @@ def _group_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndar
         first = np.concatenate(([True], place[1:] != place[:-1]))
         star = np.cumsum(first) - 1
         centre, other = who[first][star], root[first][star] != root
-        found.append(np.unique(np.stack([np.minimum(centre, who)[other], np.maximum(centre, who)[other]], axis=1), axis=0))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        yield np.unique(np.stack([np.minimum(centre, who)[other], np.maximum(centre, who)[other]], axis=1), axis=0)
+
+
+def _own_variant(x: np.ndarray, y: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The one of the variants shared by rows x and y that stands for the pair, so that one hash of a table finds it."""
+    base = np.where(ids[x] < ids[y], fps[x], fps[y])
+    rest = fps[x] ^ fps[y]
+    for _ in range(RADIUS):
+        low = rest & (~rest + np.uint64(1))
+        base, rest = base ^ low, rest ^ low
+    return base
+
 
+def _all_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, classes):
+    """All pairs of documents of different roots whose own variant is of this variant hash; each pair once."""
 
-def _pairs(batches, bits: int, parities: int):
+    def own(x, y, shared, chosen):
+        v = _own_variant(x, y, fps, ids)
+        place = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
+        keep = (shared[place] == v) & chosen[place]
+        a, b = ids[x[keep]], ids[y[keep]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+    for shared, place, row in _shared_variants(c, fps, classes):
+        order = np.argsort(place, kind="stable")
+        row = row[order]
+        sizes = np.bincount(place, minlength=len(shared))
+        starts = np.cumsum(sizes) - sizes
+        mixed = np.minimum.reduceat(roots[row], starts) != np.maximum.reduceat(roots[row], starts)
+        for k in range(2, FEW + 1):
+            at = np.flatnonzero(mixed & (sizes == k))
+            if len(at):
+                i, j = np.triu_indices(k, 1)
+                members = row[starts[at][:, None] + np.arange(k)]
+                x, y = members[:, i].ravel(), members[:, j].ravel()
+                apart = roots[x] != roots[y]
+                yield np.unique(own(x[apart], y[apart], shared, sizes == k), axis=0)
+        large = mixed & (sizes > FEW)
+        rows = np.unique(row[np.repeat(large, sizes)])
+        rows = rows[np.argsort(roots[rows], kind="stable")]
+        for lo in range(0, len(rows), BLOCK):
+            block = rows[lo : lo + BLOCK]
+            for to in range(lo, len(rows), ACROSS):
+                others = rows[to : to + ACROSS]
+                if roots[block[0]] == roots[others[-1]]:  # sorted: all of one root
+                    continue
+                near = (np.bitwise_count(fps[block][:, None] ^ fps[others][None, :]) <= 2 * RADIUS) & (roots[block][:, None] < roots[others][None, :])
+                x, y = np.nonzero(near)
+                yield own(block[x], others[y], shared, large)
+
+
+def _pairs(batches, bits: int, parities: int, whole: bool):
     """Rows sorted by hash -> pairs; a pair that several hashes of a partition find counts once."""
     classes = combos(bits, parities, RADIUS)
     key, parts, found = None, [], []
 
+    def passed_on():
+        pairs = np.unique(np.concatenate(found), axis=0)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
     def done(last: bool):
         if parts:
-            found.append(_group_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)), classes))
-        if found and (last or sum(map(len, found)) >= HELD):
-            pairs = np.unique(np.concatenate(found), axis=0)
-            found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            for pairs in (_all_pairs if whole else _star_pairs)(*(np.concatenate(x) for x in zip(*parts, strict=True)), classes):
+                if len(pairs):
+                    found.append(pairs)
+                if sum(map(len, found)) >= HELD:
+                    yield passed_on()
+        if found and last:
+            yield passed_on()
 
     for batch in batches:
         h, c, fp, ids, roots = (batch.column(n).to_numpy() for n in ("h", "c", "fp", "doc_id", "root"))
@@ -219,11 +287,14 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
 
-def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity: float, bits: int, tables: int, chosen: range) -> DataFrame:
-    """a, b: verified links between heads (doc_id, sig, root) of different roots that the chosen tables find; docs: doc_id, __text."""
+def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity: float, bits: int, tables: int, chosen: range, whole: bool) -> DataFrame:
+    """a, b: verified links between heads (doc_id, sig, root) of different roots that the chosen tables find; docs: doc_id, __text.
+
+    whole: of all pairs that share a variant, else of a star for each variant.
+    """
     parities = min(16, max(4, math.ceil(math.log2(max(1, n) / PER_GROUP))))
     rows = heads.mapInArrow(partial(_emitted, bits=bits, chosen=chosen, parities=parities), "h int, c short, fp long, doc_id long, root long")
-    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_pairs, bits=bits, parities=parities), "a long, b long").distinct()
+    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_pairs, bits=bits, parities=parities, whole=whole), "a long, b long").distinct()
     p, size = differing_share(similarity), 64 * tables
     error = UNCLEAR * math.sqrt(size * p * (1 - p))
     judged = materialize(_with_both(pairs, heads, "sig").mapInArrow(_distances, "a long, b long, d long").where(F.col("d") <= size * p + error))
@@ -253,8 +324,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     heads = materialize(marks.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min("sig").alias("sig")))
     n, links = heads.count(), None
     heads = heads.withColumn("root", F.col("doc_id"))
-    for chosen in rounds(tables):
-        found = materialize(near_links(texts, heads, n, words, similarity, bits, tables, chosen))
+    for chosen, whole in [*((x, False) for x in rounds(tables)), (range(tables), True)]:
+        found = materialize(near_links(texts, heads, n, words, similarity, bits, tables, chosen, whole))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             heads = materialize(_rooted(heads, links))

@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from blocklens.llm import queries
+from blocklens.llm import neardup, queries
 from blocklens.llm.fingerprints import canonical, collisions
 from blocklens.llm.langid import predict_languages
 from blocklens.llm.linededup import dedup_lines
@@ -246,6 +248,27 @@ def test_chains_leave_one_document(spark):
     assert (kept >= {g * 10 for g in range(150)}, len(kept) <= 153) == (True, True), len(kept)
 
 
+def test_all_pairs_of_a_dense_family_are_judged_once():
+    rng = np.random.default_rng(6)
+    bits, parities = 40, 4
+    classes = combos(bits, parities, 2)
+    base = rng.integers(0, 1 << bits, 3)
+    fps = np.array([int(b) ^ sum(1 << int(p) for p in rng.choice(bits, k, replace=False)) for b in base for k in (0, 0, 1, 2, 2, 3, 3, 4) for _ in range(12)], np.uint64)
+    ids = rng.permutation(len(fps)).astype(np.int64)
+    roots = np.where(ids % 4 == 0, ids % 8, 1000 + ids)
+    table = [pa.record_batch({"doc_id": ids, "sig": [f.tobytes() for f in fps], "root": roots})]
+    rows = pd.concat(b.to_pandas() for b in neardup._emitted(table, bits, range(1), parities)).sort_values("h")
+    got = []
+    for _, g in rows.groupby("h"):
+        for pairs in neardup._all_pairs(g.c.to_numpy(), g.fp.to_numpy().view(np.uint64), g.doc_id.to_numpy(), g.root.to_numpy(), classes):
+            got += map(tuple, pairs.tolist())
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(ids.tolist()) for j, b in enumerate(ids.tolist()) if i < j and roots[i] != roots[j] and int(fps[i] ^ fps[j]).bit_count() <= 4}
+    assert set(got) == want and len(got) == len(want)
+    shuffled = [pa.RecordBatch.from_pandas(rows, preserve_index=False)]
+    passed = [p for b in neardup._pairs(shuffled, bits, parities, True) for p in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+    assert set(passed) == want
+
+
 # --- lines, mixing
 
 
