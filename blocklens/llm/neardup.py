@@ -24,6 +24,10 @@ pairs. A shared variant does not prove a link, so a last pass over all fingerpri
 share a variant and are not connected yet. Its pairs grow with the square of a family of documents that are just
 below the threshold to each other; nothing but the verification of each can tell which of them are copies.
 
+The angle holds for large sets only, so documents of at most 32 shingles take no part in this. Their links, also those
+with larger documents, are found exactly: two sets of that similarity share one of the first shingles of both, in
+order from the rarest (prefix filter); documents that share one are compared by their sets.
+
 Defined results: documents without words are copies of each other; of rows that repeat an id one stays; rows
 without an id stay, as nothing tells them apart; an empty table gives an empty result; columns pass through.
 """
@@ -35,7 +39,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.llm.common import id_bitmap, in_bitmap, materialize, release, ship
@@ -51,6 +55,8 @@ PER_GROUP = 8192
 FEW = 8
 #: Documents of a block and those it is compared with at once.
 BLOCK, ACROSS = 512, 8192
+#: Shingles up to which a document's links are found by its set, not by fingerprints.
+SHORT = 32
 #: Pairs that a task holds before it passes them on.
 HELD = 1 << 20
 
@@ -82,11 +88,14 @@ def signature(text: str | None, words: int, tables: int) -> bytes:
     return np.array([majority(_remix(hashes, t)) for t in range(tables)], "<u8").tobytes()
 
 
-def _signatures(batches, words: int, tables: int):
+def _signatures(batches, words: int, tables: int, longest: int):
+    """doc_id, sig and, of sets of at most `longest`, the shingles."""
     release()
     for batch in batches:
-        marks = [signature(t, words, tables) for t in batch.column("__text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.binary())], ["doc_id", "sig"])
+        texts = batch.column("__text").to_pylist()
+        sets = [x.view(np.int64) if len(x := np.unique(shingle_hashes(t, words, SEED))) <= longest else None for t in texts]
+        marks = [signature(t, words, tables) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "sig", "few"])
 
 
 def rounds(tables: int) -> list[range]:
@@ -307,10 +316,71 @@ def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity
     return clear.unionByName(_with_both(unclear, sets, "shingles").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
 
 
+def _short_links(batches, similarity: float):
+    """Rows (h, doc_id, few) sorted by h -> links of the documents of each h with a short one among the two, by their sets.
+
+    A spanning subset: its components are those of all links.
+    """
+
+    def of_group(ids: np.ndarray, sets: list) -> list:
+        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+        ids, sets = ids[order], [sets[i] for i in order]
+        sizes = np.array([len(x) for x in sets])
+        flat, owner, ends = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+        up, found = list(range(len(sets))), []
+
+        def top(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for i in range(len(sets) - 1):
+            if sizes[i] > SHORT:
+                break
+            last = np.searchsorted(sizes, sizes[i] / similarity + 1e-9, side="right")
+            part = slice(ends[i], ends[last - 1])
+            both = np.bincount(owner[part][np.isin(flat[part], sets[i])], minlength=last)[i + 1 : last]
+            for j in (i + 1 + np.flatnonzero(both >= similarity * (sizes[i] + sizes[i + 1 : last] - both) - 1e-9)).tolist():
+                x, y = top(i), top(j)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    found.append((int(ids[i]), int(ids[j])))
+        return found
+
+    key, ids, sets = None, [], []
+
+    def done():
+        links = np.array(of_group(np.array(ids), sets), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        for h, i, x in zip(batch.column("h").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("few"), strict=True):
+            if ids and h != key:
+                yield done()
+                ids, sets = [], []
+            key = h
+            ids.append(i)
+            sets.append(x.values.to_numpy())
+    if ids:
+        yield done()
+
+
+def short_links(heads: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links of the short documents of heads (doc_id, few)."""
+    few = heads.where("size(few) > 0").select("doc_id", "few")
+    each = few.select("doc_id", F.size("few").alias("size"), F.explode("few").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "h"))
+    first = each.join(counts, "h").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
+    rows = first.where("n > 1").select("doc_id", "h").join(few, "doc_id").select("h", "doc_id", "few")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_short_links, similarity=similarity), "a long, b long").distinct()
+
+
 def _rooted(heads: DataFrame, links: DataFrame) -> DataFrame:
     """heads with the smallest document that the links connect them with as root."""
     roots = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("__root"))
-    return heads.join(roots, "doc_id", "left").select("doc_id", "sig", F.coalesce("__root", "root").alias("root"))
+    return heads.join(roots, "doc_id", "left").select("doc_id", "sig", "few", F.coalesce("__root", "root").alias("root"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
@@ -319,13 +389,19 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     bits, tables = shape(docs.count(), similarity, recall)
     named = docs.where("doc_id is not null")
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
-    marks = materialize(texts.mapInArrow(partial(_signatures, words=words, tables=tables), "doc_id long, sig binary"))
+    longest = math.floor(SHORT / similarity + 1e-9)
+    marks = materialize(texts.mapInArrow(partial(_signatures, words=words, tables=tables, longest=longest), "doc_id long, sig binary, few array<long>"))
     # equal signatures are copies; an id with several texts counts with the smallest signature
-    heads = materialize(marks.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min("sig").alias("sig")))
+    first = marks.groupBy("sig").agg(F.min(F.struct("doc_id", "few")).alias("x")).groupBy("x.doc_id").agg(F.min(F.struct("sig", "x.few")).alias("y"))
+    heads = materialize(first.select("doc_id", "y.sig", "y.few", F.col("doc_id").alias("root")))
     n, links = heads.count(), None
-    heads = heads.withColumn("root", F.col("doc_id"))
+    found = materialize(short_links(heads, similarity))
+    if not found.isEmpty():
+        links = found
+        heads = materialize(_rooted(heads, links))
     for chosen, whole in [*((x, False) for x in rounds(tables)), (range(tables), True)]:
-        found = materialize(near_links(texts, heads, n, words, similarity, bits, tables, chosen, whole))
+        long = heads.where(F.col("few").isNull() | (F.size("few") > SHORT)).select("doc_id", "sig", "root")
+        found = materialize(near_links(texts, long, n, words, similarity, bits, tables, chosen, whole))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             heads = materialize(_rooted(heads, links))

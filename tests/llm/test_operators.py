@@ -269,6 +269,23 @@ def test_all_pairs_of_a_dense_family_are_judged_once():
     assert set(passed) == want
 
 
+def test_short_near_copies_are_settled_exactly(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, alone = [], set()
+    for g in range(200):
+        text = [word() for _ in range(9)]
+        rows += [(g * 10, " ".join(text[:8])), (g * 10 + 1, " ".join(text))]  # 4 and 5 shingles: 0.8
+        other = [word() for _ in range(8)]
+        rows += [(g * 10 + 2, " ".join(other[:7])), (g * 10 + 3, " ".join(other))]  # 3 and 4: 0.75
+        alone |= {g * 10, g * 10 + 2, g * 10 + 3}
+        text = [word() for _ in range(44)]
+        rows += [(g * 10 + 4, " ".join(text[:36])), (g * 10 + 5, " ".join(text))]  # 32 and 40: 0.8
+        alone.add(g * 10 + 4)
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == alone, (len(kept - alone), len(alone - kept))
+
+
 # --- lines, mixing
 
 
