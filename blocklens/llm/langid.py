@@ -9,8 +9,12 @@ Symbols: a to z and the letters of Latin-1 have their own, other letters share 6
 separates words. Prototypes are fitted on a sample of labelled rows of at most about `per_language` documents
 of each language (a documented bound); every whole text is predicted.
 
+Letters are the characters that str.isalpha accepts; digits, fractions, superscripts and number forms are none.
+
 Defined results: null text or text without letters: `und`, score 0; null lang: not learned from; languages tie
-by name; nothing to learn from: `und` for all; repeated rows repeat their result; other columns are ignored.
+by name; nothing to learn from: `und` for all; repeated rows repeat their result, and each counts in learning;
+very long texts are encoded whole, trigram by trigram; other columns are ignored; an empty table gives an empty
+result. The driver and each worker hold 4 KiB for each language that is learned.
 """
 
 from __future__ import annotations
@@ -30,7 +34,14 @@ SEED = 2024
 SYMBOLS = 128
 PER_LANGUAGE = 2000
 SHARPNESS = 20.0
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def not_letters() -> re.Pattern:
+    r"""Runs of characters that are no letters: \W, digits, the underscore, and the word characters that are
+    numbers or marks of another kind (superscripts, fractions, circled and Roman numerals)."""
+    odd = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W\d_{odd}]+")
 
 
 @lru_cache(maxsize=1)
@@ -68,7 +79,7 @@ class Trigrams:
 
     def encode(self, text: str | None) -> np.ndarray | None:
         """The document's vector at unit length; None without letters."""
-        plain = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+        plain = not_letters().sub(" ", (text or "").lower()).strip()
         if not plain:
             return None
         points = np.frombuffer(f" {plain} ".encode("utf-32-le", "replace"), np.uint32)

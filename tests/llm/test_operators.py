@@ -396,6 +396,13 @@ def test_languages_of_held_out_documents(spark, table):
     assert held.held_out.all() and (held.lang == held.lang_pred).mean() > 0.95
 
 
+@pytest.mark.parametrize("text", ["½ ² ①", "Ⅷ", "٣ 42", "_ -", "", None, "ᛮ"])
+def test_texts_without_letters_have_no_language(spark, text):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(8)] + [(100, text, "en"), (101, "½ a ½", None)]
+    got = {r["doc_id"]: r for r in predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[100]["lang_pred"], got[100]["score"]) == ("und", 0.0) and got[101]["lang_pred"] == "en"
+
+
 def test_network_gradients():
     net = Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
