@@ -12,7 +12,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder that holds the package; workers of a local session find the package here.
@@ -42,14 +42,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset a local one of our own in local mode, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="blocklens-checkpoints-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like __name that df has not, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -81,7 +92,7 @@ BITMAP_BITS = 20
 
 
 def id_bitmap(ids: DataFrame, column: str = "doc_id") -> bytes:
-    """A bitmap of fixed size of the ids modulo its bits, for in_bitmap.
+    """A bitmap of fixed size of the ids modulo its bits, for marked().
 
     It spares a shuffle of texts where few are wanted; a join with ids afterwards makes it exact.
     """
@@ -93,12 +104,6 @@ def id_bitmap(ids: DataFrame, column: str = "doc_id") -> bytes:
     return bytes(bits)
 
 
-def in_bitmap(ids: np.ndarray, bitmap: bytes) -> np.ndarray:
-    """True for all ids of the bitmap and few others."""
-    place = ids & ((1 << BITMAP_BITS) - 1)
-    return np.frombuffer(bitmap, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
-
-
 _KEPT: dict = {}
 
 
@@ -123,5 +128,33 @@ def release() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def marked(key: Column, bitmap: bytes) -> Column:
+    """True for all keys (longs) of an id bitmap and few others."""
+    place = F.pmod(key, F.lit(1 << BITMAP_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap)), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+
+
+#: Rows of one key beyond which a join deals the key to SPREAD tasks.
+HOT = 1 << 20
+SPREAD = 64
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, hot: int = HOT, spread: int = SPREAD) -> DataFrame:
+    """rows left-joined with table, which has one row for each key; keys of more than `hot` rows are dealt to `spread` tasks.
+
+    The hot keys are marked in a bitmap of fixed size over their hashes; all keys of a marked hash are dealt alike.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    bitmap = id_bitmap(counts.select(F.xxhash64(key).alias("doc_id")))
+    if not any(bitmap):
+        return rows.join(table, key, "left")
+    salt, is_hot = free_name(rows, "salt"), marked(F.xxhash64(key), bitmap)
+    others = [F.col(c) for c in rows.columns if c != key]
+    dealt = rows.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(F.lit(1), *others), F.lit(spread))).otherwise(F.lit(0)).cast("int"))
+    copies = table.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, salt], "left").drop(salt)
+
+
 #: Word separators of the contracts: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

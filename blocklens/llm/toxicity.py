@@ -5,14 +5,16 @@ trigrams and that of its beginnings of several lengths, by hash, for inflected a
 the states; a linear unit gives the window's logit. All overlapping windows of the whole text are scored, the
 document's score is that of its most toxic window.
 
-Training: a sample of at most `per_class` labelled documents of each class (a documented bound), as bags of
-windows: in each round the network picks the top window of every document and learns from these, and from
-random windows of clean documents. Embeddings of words and beginnings start from the log-odds of what they
+Training: a sample of at most `per_class` labelled documents and `class_chars` characters of each class (documented
+bounds on rows; a text of the sample is always whole), as bags of all their windows: in each round the network
+picks the top window of every document and learns from these, and from random windows of clean documents. Embeddings of words and beginnings start from the log-odds of what they
 stand for in the sample; word inputs are dropped at random in training, so that characters count.
 
 Defined results: null text and text without words score 0.0; labels that are null or neither 0 nor 1 are not
-learned from; nothing to learn from (no row of one class): all score 0.0; repeated rows repeat their result;
-an empty table gives an empty result; other columns are ignored or, in filtering, pass through.
+learned from, an id with both labels is learned from with both; nothing to learn from (no row of one class): all
+score 0.0; repeated rows repeat their result; very long texts are scored whole, in stretches that overlap by a
+window; ties do not occur, as a score depends on its own text only; an empty table gives an empty result; other
+columns are ignored or, in filtering, pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from blocklens.llm.common import held_out, kept, ship
+from blocklens.llm.common import free_name, held_out, kept, materialize, ship
 
 WINDOW, STRIDE = 16, 8
 WORD_BITS, GRAM_BITS, STEM_BITS = 17, 12, 16
@@ -36,8 +38,10 @@ WORDS, GRAMS, STEMS = 1 << WORD_BITS, 1 << GRAM_BITS, 1 << STEM_BITS
 STEM_SIZES = np.arange(4, 10)
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
 PER_CLASS = 2500
-#: Windows of one document that training looks at, drawn at random from a longer one.
-BAG = 300
+#: Log-odds from which a word or beginning speaks for a class at first, and by how much at most.
+ODDS = 3.0, 3.0
+#: Characters of the texts of a class to learn from, at most.
+CLASS_CHARS = 32_000_000
 #: Rounds of training, more where the sample is small, so that there are LEAST_STEPS steps of STEP windows.
 ROUNDS, STEP, LEAST_STEPS = 8, 128, 500
 SEED = 7
@@ -216,6 +220,32 @@ def _window_words(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return rows[np.minimum(at, len(rows) - 1)], mask
 
 
+class Bags:
+    """The windows of all texts to learn from: the words of the texts in a row, and where each window starts and its text ends."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        begins = np.cumsum(sizes) - sizes
+        starts = [windows(n) for n in sizes.tolist()]
+        self.words = np.concatenate(docs)
+        self.owner = np.repeat(np.arange(len(docs)), [len(x) for x in starts])
+        self.start = np.concatenate(starts) + begins[self.owner]
+        self.end = (begins + sizes)[self.owner]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def take(self, which) -> tuple[np.ndarray, np.ndarray]:
+        """(words, mask) of the windows at these places."""
+        at = self.start[which][:, None] + np.arange(WINDOW)
+        mask = at < self.end[which][:, None]
+        return self.words[np.minimum(at, len(self.words) - 1)], mask
+
+    def each(self, score) -> np.ndarray:
+        """score(words, mask) of every window, a batch at a time."""
+        return np.concatenate([score(*self.take(slice(i, i + BATCH))) for i in range(0, len(self), BATCH)])
+
+
 def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | None:
     """Multiple-instance training; None if a class is missing."""
     rng = np.random.default_rng(seed)
@@ -240,23 +270,15 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
         for rows, label in zip(docs, target, strict=True):
             seen = np.unique(at[rows])
             present[int(label), seen[seen >= 0]] += 1
-        value = np.log((present[1] + 1) / (target.sum() + 2)) - np.log((present[0] + 1) / ((1 - target).sum() + 2))
-        net.p[name][:, 0] = np.where(present.sum(axis=0) >= 5, np.clip(value, -3, 3), 0) / 2
+        value = np.log((present[1] + 0.1) / (target.sum() + 0.2)) - np.log((present[0] + 0.6) / ((1 - target).sum() + 1.2))
+        net.p[name][:, 0] = np.where(present.sum(axis=0) >= 5, np.clip(value - ODDS[0], 0, ODDS[1]), 0)
         odds[name] = np.where(at >= 0, net.p[name][at, 0], 0).max(axis=1)
-    odds = odds["word"] + odds["stem"]
-    bags, masks, owner = [], [], []
-    for d, rows in enumerate(docs):
-        starts = windows(len(rows))
-        if len(starts) > BAG:
-            starts = np.sort(rng.choice(starts, BAG, replace=False))
-        w, m = _window_words(rows, starts)
-        bags.append(w)
-        masks.append(m)
-        owner.append(np.full(len(w), d))
-    bags, masks, owner = np.concatenate(bags), np.concatenate(masks), np.concatenate(owner)
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    odds = (odds["word"] + odds["stem"]).astype(np.float32)
+    bags = Bags(docs)
     del docs
-    score = np.where(masks, odds[bags].astype(np.float32), -9).max(axis=1)  # round one: by log-odds
+    owner = bags.owner
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    score = bags.each(lambda words, mask: np.where(mask, odds[words], np.float32(-9)).max(axis=1))  # round one: by log-odds
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     clean = np.flatnonzero(target[owner] == 0)
     step = 0
@@ -268,7 +290,8 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
         picked = np.concatenate([clean_top, rng.choice(clean, len(clean_top)), np.resize(rng.permutation(toxic_top), 2 * len(clean_top))])
         for at in np.split(rng.permutation(picked), range(STEP, len(picked), STEP)):
             step += 1
-            for k, g in net.gradients(bags[at], codes, masks[at], target[owner[at]], rng).items():
+            taken, mask = bags.take(at)
+            for k, g in net.gradients(taken, codes, mask, target[owner[at]], rng).items():
                 m, v = moments[k]
                 m *= 0.9
                 m += 0.1 * g
@@ -277,7 +300,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
                 net.p[k] -= (0.01 if round_ < 0.75 * rounds else 0.003) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         for i in range(0, len(words), 16_384):
             inputs[i : i + 16_384] = net.word_inputs(words[i : i + 16_384])
-        score = np.concatenate([net.run(inputs[bags[i : i + BATCH]], masks[i : i + BATCH]) for i in range(0, len(bags), BATCH)])
+        score = bags.each(lambda words, mask: net.run(inputs[words], mask))
     return net
 
 
@@ -356,18 +379,35 @@ def _score(batches, shared, key, schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = PER_CLASS) -> Network | None:
-    """A network from the labelled rows that are not held out, at most per_class of each class."""
+def sample(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = PER_CLASS, class_chars: int = CLASS_CHARS) -> list:
+    """Rows (doc_id, text, __toxic) to learn from: labelled, not held out, whole texts; bounded in rows and characters.
+
+    Rows of a class come in a seeded order of their ids. Of an id with several texts the smallest counts; a text that
+    would take a class beyond class_chars is left out, and the next ones are tried.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", F.col("toxic").cast("int").alias("__toxic")).distinct()
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    sample = known.where("__toxic = 1").orderBy(order, "doc_id").limit(per_class).unionByName(known.where("__toxic = 0").orderBy(order, "doc_id").limit(per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "__toxic").collect()  # 2 x per_class ids
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    drawn = known.where("__toxic = 1").orderBy(order, "doc_id").limit(per_class).unionByName(known.where("__toxic = 0").orderBy(order, "doc_id").limit(per_class))
+    # 2 x per_class ids at most, so their labels may be broadcast and their lengths collected
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).select("doc_id", "__toxic", "text", F.length("text").alias("n"), order.alias("at")))
+    left, taken = {0: class_chars, 1: class_chars}, []
+    for r in rows.select("doc_id", "__toxic", "n", "at").orderBy("at", "doc_id").collect():
+        if (r["n"] or 0) <= left[r["__toxic"]]:
+            left[r["__toxic"]] -= r["n"] or 0
+            taken.append((r["doc_id"], r["__toxic"]))
+    wanted = docs.sparkSession.createDataFrame(taken, rows.select("doc_id", "__toxic").schema)
+    return rows.join(F.broadcast(wanted), ["doc_id", "__toxic"]).select("doc_id", "text", "__toxic").collect()
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = PER_CLASS, class_chars: int = CLASS_CHARS) -> Network | None:
+    """A network from the labelled rows that are not held out, within the bounds of sample()."""
+    rows = sample(docs, labels, modulus, remainder, per_class, class_chars)
+    rows.sort(key=lambda r: (r["doc_id"], r["__toxic"]))
     return train([r["text"] for r in rows], [r["__toxic"] for r in rows])
 
 
-def with_scores(docs: DataFrame, net: Network | None, name: str = "__score") -> DataFrame:
-    """docs with a score column; all other columns pass through."""
+def with_scores(docs: DataFrame, net: Network | None, name: str) -> DataFrame:
+    """docs with a score column of that name, which docs has not; all other columns pass through."""
     spark = docs.sparkSession
     ship(spark)
     shared = None if net is None else spark.sparkContext.broadcast(net.p)  # fixed size, about 4 MB
@@ -378,10 +418,11 @@ def with_scores(docs: DataFrame, net: Network | None, name: str = "__score") ->
 def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     net = fit(docs, labels, modulus, remainder)
-    scored = with_scores(docs.select("doc_id", "text"), net)
+    scored = with_scores(docs.select("doc_id", "text"), net, "__score")
     return scored.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic; columns as given."""
-    return with_scores(docs, fit(docs, labels)).where("__score < 0.5").select(*docs.columns)
+    score = free_name(docs, "score")
+    return with_scores(docs, fit(docs, labels), score).where(F.col(score) < 0.5).select(*docs.columns)
