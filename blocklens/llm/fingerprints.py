@@ -7,36 +7,42 @@ So two documents have one fingerprint exactly if their canonical bytes are equal
 
 The byte comparison is a map-side combined minimum and maximum per bucket, so a bucket with a third of all
 rows costs a row for each map task. Only texts whose bucket may hold several documents are sent: a bitmap of
-fixed size over bucket prefixes, from counts over all documents, says which.
-
-The next document (descending id) is found without a global sort in one task: documents are dealt by id ranges
-of equal counts, and the first document of a range is sent to the range before it as well.
-
-Defined results: null text is the empty text; null ids come last (after the smallest id); rows that repeat an
-id follow each other in the order of their text; equal documents are compared as equal (likeness 1.0), others
-0.0; a single document is its own next; other columns are ignored; an empty table gives an empty result.
+fixed size over bucket prefixes, from counts over all documents and edited texts, says which. An edited text is
+compared with its own document where it is made; one whose digest is also that of another text is made again from
+the two texts it comes from, and meets the bodies of its bucket.
+
+The next document (descending id) is found without a global sort in one task: documents are dealt into ranges of the
+order (id descending, a hash of the text, place of the row) by Spark's range partitioner, which samples the keys, so
+that neither outlier ids, repeated ids nor missing ids gather in one task. The last document of a range meets the
+first of the range after it in a join of one row for each range.
+
+Defined results: null text is the empty text; null ids come last (after the smallest id); rows that repeat an id
+follow each other in the order of a hash of their text, equal rows in any order; equal documents are compared as
+equal (likeness 1.0), others 0.0; a single document is its own next; very long texts are handled whole, one at a
+time; other columns, of any name, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
+import math
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from blocklens.llm.common import materialize, ship
+from blocklens.llm.common import id_bitmap, marked, materialize, ship
 
-#: log2 of the bits of the bucket bitmap (128 KiB at 20).
-PREFIX_BITS = 20
-#: Documents in an id range, at least; the ranges are as many as cells at most.
-PER_RANGE = 1024
-CELLS = 65_534
+#: log2 of the bits of the bucket bitmap (2 MiB at 24).
+PREFIX_BITS = 24
+#: Bytes of text and documents of a range, about.
+RANGE_BYTES, RANGE_ROWS = 1 << 24, 20_000
+MADE = ["n_chars", "edited_sha256", "digest", "edited_digest", "sha", "edited_sha", "near_edited", "near_next"]
+MADE_TYPES = "n_chars long, edited_sha256 string, digest string, edited_digest string, sha string, edited_sha string, near_edited double, near_next double"
 
 
 def canonical(text: str) -> str:
@@ -62,29 +68,51 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def pair(text: str, canon: bytes, following: str, following_canon: bytes) -> tuple:
+    """The values of MADE of a document and the one after it."""
+    changed = edited(text, following)
+    changed_canon = canonical(changed).encode()
+    return (len(text), sha256(changed.encode()), digest(canon), digest(changed_canon), sha256(canon), sha256(changed_canon), float(changed_canon == canon), float(following_canon == canon))
+
+
+def _made(rows: list, id_type) -> pa.RecordBatch:
+    """Rows (part, edge, doc_id, h, next_id, next_h, body, *MADE) as a batch; edge 0: a pair, 1, 2: first and last document of a range."""
+    names = ["part", "edge", "doc_id", "h", "next_id", "next_h", "body", *MADE]
+    types = [pa.int32(), pa.int32(), id_type, pa.int64(), id_type, pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 5, pa.float64(), pa.float64()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, types, strict=True)], names)
+
+
 def _pairs(batches, id_type):
-    """Rows sorted by (range, id descending): each with the one after it in its range; lone last rows are guests."""
-    last = None
-    names = ["doc_id", "n_chars", "edited_sha256", "digest", "edited_digest", "sha", "edited_sha", "near_edited", "near_next"]
+    """The sorted rows of a range: every document with the one after it; the first and the last with their texts."""
+    last, none = None, (None,) * len(MADE)
     for batch in batches:
-        out = {n: [] for n in names}
-        for part, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("__part", "__guest", "doc_id", "__text")), strict=True):
+        out = []
+        for part, doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("__part", "doc_id", "__h", "__text")), strict=True):
             canon = canonical(text).encode()
-            if last is not None and last[0] == part:
-                _, before_id, before, before_canon = last
-                changed = edited(before, text)
-                changed_canon = canonical(changed).encode()
-                row = (before_id, len(before), sha256(changed.encode()), digest(before_canon), digest(changed_canon), sha256(before_canon), sha256(changed_canon), float(changed_canon == before_canon), float(canon == before_canon))
-                for n, v in zip(names, row, strict=True):
-                    out[n].append(v)
-            last = None if guest else (part, doc_id, text, canon)
-        types = [id_type, pa.int64(), *[pa.string()] * 5, pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names)
-
-
-def _canon(batches, bitmap: bytes):
-    """(bucket, canonical bytes) of the documents whose bucket prefix is in the bitmap."""
-    bits = np.frombuffer(bitmap, np.uint8)
+            if last is None:
+                out.append((part, 1, doc_id, h, None, None, text, *none))
+            else:
+                _, before_id, before_h, before, before_canon = last
+                out.append((part, 0, before_id, before_h, doc_id, h, None, *pair(before, before_canon, text, canon)))
+            last = (part, doc_id, h, text, canon)
+        yield _made(out, id_type)
+    if last is not None:
+        yield _made([(last[0], 2, last[1], last[2], None, None, last[3], *none)], id_type)
+
+
+def _seams(batches, id_type):
+    """Rows of the last document of a range and the first of the next -> their pairs."""
+    for batch in batches:
+        out = []
+        for part, doc_id, h, text, next_id, next_h, following in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "h", "body", "next_id", "next_h", "next_body")), strict=True):
+            out.append((part, 0, doc_id, h, next_id, next_h, None, *pair(text, canonical(text).encode(), following, canonical(following).encode())))
+        yield _made(out, id_type)
+
+
+def _canon(batches, bitmap):
+    """(bucket, canonical bytes) of the documents whose bucket prefix is in the shared bitmap."""
+    bits = np.frombuffer(bitmap.value, np.uint8)
     for batch in batches:
         buckets, bodies = [], []
         for text in batch.column("__text").to_pylist():
@@ -97,60 +125,82 @@ def _canon(batches, bitmap: bytes):
         yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.string()), pa.array(bodies, pa.binary())], ["digest", "body"])
 
 
-def collisions(texts: DataFrame, digests: DataFrame) -> DataFrame:
-    """digest of the buckets that hold different canonical bytes; digests: one row for each document."""
+def _edited_canon(batches):
+    """Rows (digest, text, following) -> (digest, canonical bytes of the edited text)."""
+    for batch in batches:
+        bodies = [canonical(edited(t, f)).encode() for t, f in zip(batch.column("text").to_pylist(), batch.column("following").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(bodies, pa.binary())], ["digest", "body"])
+
+
+def repeated(digests: DataFrame) -> DataFrame:
+    """digest of the buckets with several rows."""
+    return materialize(digests.groupBy("digest").count().where("count > 1").select("digest"))
+
+
+def prefix_bitmap(several: DataFrame) -> bytes:
+    """A bitmap of fixed size of the prefixes of buckets."""
     prefix = F.conv(F.substring("digest", 1, PREFIX_BITS // 4), 16, 10).cast("long")
-    several = digests.groupBy("digest").count().where("count > 1").select(prefix.alias("p"))
-    lanes = several.groupBy(F.floor(F.col("p") / 32).alias("lane")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("bits")).collect()
-    words = np.zeros(1 << (PREFIX_BITS - 5), np.uint32)  # fixed size, whatever the corpus
-    for lane, bits in lanes:
-        words[lane] = bits
-    bodies = texts.mapInArrow(partial(_canon, bitmap=words.tobytes()), "digest string, body binary")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))
+    lanes = several.select(prefix.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("lane")).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most 2^19 rows
+    words = np.zeros(1 << (PREFIX_BITS - 5), np.uint32)
+    words[lanes["lane"].to_numpy(np.int64)] = lanes["bits"].to_numpy(np.int64).astype(np.uint32)
+    return words.tobytes()
+
+
+def differing(bodies: DataFrame) -> DataFrame:
+    """digest of the buckets that hold different canonical bytes; bodies: (digest, body). Combined map side."""
     return bodies.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("digest")
 
 
-def _ranges(ids: DataFrame) -> tuple[Column, list]:
-    """A column that deals doc_id into ranges of about PER_RANGE rows, 0 with the largest ids, and the largest id of each.
+def collisions(texts: DataFrame, made: DataFrame) -> DataFrame:
+    """digest of the buckets that hold different canonical bytes, of documents or of edited texts.
 
-    Ids are counted in CELLS cells of equal width; neighbouring cells are put together. The table of cells has
-    a fixed size and travels as a binary literal.
+    texts: doc_id, __text, __h; made: a row (doc_id, h, next_id, next_h, digest, edited_digest, near_edited) for each document.
     """
-    lowest, highest = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lowest, highest = lowest or 0, highest or 0
-    cell = F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(lowest))) / F.lit(float(highest - lowest) + 1.0) * F.lit(float(CELLS))), F.lit(CELLS - 1)).cast("int")
-    counts = np.zeros(CELLS, np.int64)
-    for c, n in ids.where("doc_id is not null").groupBy(cell.alias("c")).count().collect():
-        counts[c] = n
-    per_range = max(PER_RANGE, -(-int(counts.sum()) // (CELLS - 2)))
-    places = (np.cumsum(counts[::-1])[::-1] - counts) // per_range  # ids above the cell decide
-    places = np.unique(places, return_inverse=True)[1]
-    word = F.substring(F.lit(bytearray(places.astype(">u2").tobytes())), F.lit(2) * cell + 1, F.lit(2))
-    part = F.when(F.col("doc_id").isNull(), F.lit(CELLS)).otherwise(F.conv(F.hex(word), 16, 10).cast("int"))
-    return part, ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("top")).orderBy("part").collect()
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+    changed = made.where("near_edited = 0").select(F.col("edited_digest").alias("digest"))  # the others are compared already
+    several = repeated(made.select("digest").unionByName(changed))
+    if several.isEmpty():
+        return several
+    shared = made.sparkSession.sparkContext.broadcast(prefix_bitmap(several))  # fixed size
+    bodies = texts.mapInArrow(partial(_canon, bitmap=shared), "digest string, body binary")
+    asked = made.where("near_edited = 0").join(several.withColumnRenamed("digest", "edited_digest"), "edited_digest", "left_semi")
+    asked = materialize(asked.select(F.col("edited_digest").alias("digest"), "doc_id", "h", "next_id", "next_h").distinct())
+    if not asked.isEmpty():
+        key = F.xxhash64("doc_id", "h")
+        ends = asked.select("doc_id", "h").unionByName(asked.select(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"))).distinct()
+        near = texts.withColumnRenamed("__h", "h").where(marked(key, id_bitmap(ends.select(key.alias("doc_id")))))
+        same = lambda x, y: [F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")), F.col(f"{x}.h") == F.col(f"{y}.h")]
+        near = materialize(near.alias("t").join(ends.alias("e"), same("t", "e"), "left_semi").groupBy("doc_id", "h").agg(F.min("__text").alias("text")))
+        first, second = (near.select(F.col("doc_id").alias(f"{x}_id"), F.col("h").alias(f"{x}_h"), F.col("text").alias(f"{x}_text")) for x in "ab")
+        met = asked.join(first, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h"))).join(second, F.col("next_id").eqNullSafe(F.col("b_id")) & (F.col("next_h") == F.col("b_h")))
+        bodies = bodies.unionByName(met.select("digest", F.col("a_text").alias("text"), F.col("b_text").alias("following")).mapInArrow(_edited_canon, "digest string, body binary"))
+    return differing(bodies)
+
+
+def ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, __text, __h, __part of docs (doc_id, __text, __h), dealt and sorted by the order of documents."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("__text"))).first()
+    parts = max(1, math.ceil((size or 0) / range_bytes), math.ceil(n / range_rows))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("__h"), F.col("__at")]
+    placed = docs.withColumn("__at", F.monotonically_increasing_id())
+    return placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "__text", "__h", F.spark_partition_id().alias("__part"))
+
+
+def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    part, firsts = _ranges(docs.select("doc_id"))
-    id_field = docs.schema["doc_id"]
-    # the documents with the largest id of a range are guests of the range before it (of the last one for the first)
-    tops = spark.createDataFrame([(r["top"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)], T.StructType([T.StructField("__top", id_field.dataType), T.StructField("__before", T.IntegerType())]))
-    seat = lambda p, guest: F.struct(p.alias("part"), F.lit(guest).alias("guest"))
-    seats = F.array_compact(F.array(seat(part, 0), F.when(F.col("__before").isNotNull(), seat(F.col("__before"), 1))))
-    dealt = (
-        texts.join(F.broadcast(tops), F.col("doc_id").eqNullSafe(F.col("__top")), "left")  # at most CELLS rows
-        .withColumn("__seat", F.explode(seats))
-        .select(F.col("__seat.part").alias("__part"), F.col("__seat.guest").alias("__guest"), "doc_id", "__text")
-        .repartition("__part")
-        .sortWithinPartitions("__part", "__guest", F.col("doc_id").desc_nulls_last(), "__text")
-    )
-    kind = id_field.dataType.simpleString()
-    strings = "n_chars long, edited_sha256 string, digest string, edited_digest string, sha string, edited_sha string, near_edited double, near_next double"
-    made = materialize(dealt.mapInArrow(partial(_pairs, id_type=to_arrow_type(id_field.dataType)), f"doc_id {kind}, {strings}"))
-    odd = materialize(collisions(texts, made.select("digest")))
+    ship(docs.sparkSession)
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text")).withColumn("__h", F.xxhash64("__text"))
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    schema = f"part int, edge int, doc_id {kind}, h long, next_id {kind}, next_h long, body string, {MADE_TYPES}"
+    inside = materialize(ranges(texts, range_bytes, range_rows).mapInArrow(partial(_pairs, id_type=id_type), schema))
+    # a row for each range: which range comes after it, the first after the last
+    firsts = inside.where("edge = 1")
+    after = firsts.select("part").withColumn("to", F.lead("part").over(Window.orderBy("part"))).select("part", F.coalesce("to", F.min("part").over(Window.partitionBy())).alias("to"))
+    heads = firsts.select(F.col("part").alias("to"), F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("body").alias("next_body"))
+    ends = inside.where("edge = 2").select("part", "doc_id", "h", "body").join(after, "part").join(heads, "to")
+    seams = materialize(ends.mapInArrow(partial(_seams, id_type=id_type), schema))
+    made = inside.where("edge = 0").unionByName(seams)
+    odd = materialize(collisions(texts, made))
     named = lambda digest, sha, odd: F.when(F.col(odd).isNotNull(), F.concat_ws("-", digest, sha)).otherwise(F.col(digest))
     return (
         made.join(odd.withColumnRenamed("digest", "__odd"), F.col("digest") == F.col("__odd"), "left")

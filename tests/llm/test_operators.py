@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from blocklens.llm import neardup, queries
-from blocklens.llm.fingerprints import canonical, collisions
+from blocklens.llm.fingerprints import canonical
 from blocklens.llm.langid import predict_languages
 from blocklens.llm.linededup import dedup_lines
 from blocklens.llm.mixing import mix, mix_report
@@ -116,17 +116,58 @@ def test_canonical_form():
     assert canonical("  Straße  ﬁne\n") == canonical("STRASSE fine") and canonical("é") == canonical("é") and canonical("a b") != canonical("ab")
 
 
-def test_equal_buckets_with_other_bytes_are_found(spark, monkeypatch):
+@pytest.mark.parametrize("extra", [[], [1 << 62], [None] * 300, [7] * 300])
+def test_ranges_stay_small_and_cross_seams(spark, extra):
+    from blocklens.llm.fingerprints import fingerprints, ranges
+
+    rng = random.Random(len(extra))
+    rows = [(i, f"Text {rng.randrange(60)} é  {'x' * rng.randrange(5)}") for i in range(400)] + [(i, f"more {n % 40}") for n, i in enumerate(extra)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    parts = ranges(df.select("doc_id", F.col("text").alias("__text"), F.xxhash64("text").alias("__h")), range_rows=50).groupBy("__part").count().collect()
+    assert len(parts) >= len(rows) // 100 and max(r["count"] for r in parts) < 150
+    got = fingerprints(df, range_rows=50).collect()
+    assert len(got) == len(rows)
+    if not extra or extra[0] == 1 << 62:
+        ordered = sorted(rows, reverse=True)
+        by = {r["doc_id"]: r for r in got}
+        for (i, text), (_, following) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+            changed = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+            assert by[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and by[i]["near_next"] == float(canonical(text) == canonical(following))
+
+
+def test_equal_buckets_with_other_bytes_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
     from blocklens.llm import fingerprints
 
-    texts = spark.createDataFrame([("aa",), ("ab",), ("cc",), ("cc",)], "__text string")
-    digest = lambda canon: "0" * 31 + chr(canon[0])  # noqa: E731  the first letter decides the bucket
-    # workers get the patched function by value
-    monkeypatch.setattr(fingerprints, "digest", digest)
-    digests = spark.createDataFrame([(digest(t.encode()),) for t in ("aa", "ab", "cc", "cc")], "digest string")
-    bodies = spark.createDataFrame([(digest(t.encode()), bytearray(t.encode())) for t in ("aa", "ab", "cc", "cc")], "digest string, body binary")
-    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, f, schema: bodies)
-    assert [r[0] for r in collisions(texts, digests).collect()] == ["0" * 31 + "a"]
+    # a weak digest: documents and edited texts fall into few buckets
+    rows = [(4, "aXbq"), (3, "bYcq"), (2, "aXbq"), (1, "a")]
+    weak = lambda canon: "0" * 31 + chr(canon[0])  # noqa: E731  the first letter decides the bucket
+    after = {4: 3, 3: 2, 2: 1, 1: 4}
+    text = dict(rows)
+    made = []
+    for i, t in rows:
+        changed = fingerprints.edited(t, text[after[i]])
+        made.append((i, i, after[i], after[i], weak(canonical(t).encode()), weak(canonical(changed).encode()), float(canonical(t) == canonical(changed))))
+    made = spark.createDataFrame(made, "doc_id long, h long, next_id long, next_h long, digest string, edited_digest string, near_edited double")
+    texts = spark.createDataFrame(rows, "doc_id long, __text string").withColumn("__h", F.col("doc_id"))
+    asked = []
+    monkeypatch.setattr(fingerprints, "differing", lambda bodies: asked.append(bodies) or bodies)
+    real = type(texts).mapInArrow
+
+    def in_arrow(self, f, schema):  # workers would digest with the true function
+        if getattr(f, "func", None) is fingerprints._canon:
+            return spark.createDataFrame([(weak(canonical(t).encode()), bytearray(canonical(t).encode())) for _, t in rows], schema)
+        return real(self, f, schema)
+
+    monkeypatch.setattr(type(texts), "mapInArrow", in_arrow)
+    bodies = sorted((r["digest"][-1], bytes(r["body"])) for r in fingerprints.collisions(texts, made).collect())
+    assert ("a", b"axby") in bodies and ("b", b"byax") in bodies  # edited texts stand among the bodies of their bucket
+    monkeypatch.undo()
+    odd = fingerprints.differing(spark.createDataFrame([(d, bytearray(b)) for d, b in bodies], "digest string, body binary"))
+    assert sorted(r[0] for r in odd.collect()) == ["a", "b"]
 
 
 # --- SimHash
@@ -233,7 +274,7 @@ def test_near_copies_are_found_and_others_stay(spark):
                 rows.append((g * 100 + k, " ".join(copy)))
     kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(groups)
-    assert shape(1000, 0.8) == (40, 11) and shape(1 << 35, 0.8)[0] == 57
+    assert shape(1000, 0.8) == (40, 11) == (neardup.BITS, neardup.needed_tables(0.8, neardup.BITS)) and shape(1 << 35, 0.8)[0] == 57
 
 
 def test_chains_leave_one_document(spark):
