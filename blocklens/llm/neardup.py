@@ -3,10 +3,12 @@
 Documents are sets of five-word shingles; two are near copies from a Jaccard similarity of 0.8. One 64-bit
 fingerprint at a radius of four bits finds few of such pairs (they differ in about 15 % of the bits), so every
 document has several independent fingerprints, of which only so many bits meet by ball hashing that chance
-collisions stay rare. Both numbers follow from the number of documents and the asked recall at the threshold:
+collisions stay rare. Both numbers are parameters, the same whatever the size of the table, so that two documents
+link in every corpus or in none:
 
-    bits    log2(documents) + 22, from 40 to 64: a document meets less than 0.1 others by chance
-    tables  as many as find a pair at the threshold with the asked probability
+    bits    40: in a table a document meets 9 others by chance for every 10^8 documents; shape() says what to pass
+            beyond that (each bit more halves them)
+    tables  as many as find a pair at the threshold with the asked probability (11 of 40 bits find 0.95 of them)
 
 In a table every fingerprint emits its variants within half the radius, which meet by their variant hash as in
 simhash.py. Pairs are deduplicated and verified:
@@ -14,22 +16,23 @@ the differing bits of all fingerprints together (64 bits of each) estimate the a
 and decide where they are clear; pairs near the threshold are settled by the Jaccard similarity of the sets
 themselves, which are made again for their documents only. Links make components; the smallest id of each stays.
 
-The fingerprints are worked off in rounds, one first and then twice as many each time. All documents take part in
-all rounds and all links count; only pairs that the links of earlier rounds already connect are not made again, as
-they add nothing to the components. The first fingerprints connect a dense group of copies, so its pairs of later
-rounds do not grow with its square. Components are those of the links of all rounds.
-
-In the rounds each document of a variant pairs only with the most central one, which connects most copies with few
-pairs. A shared variant does not prove a link, so a last pass over all fingerprints pairs every two documents that
-share a variant and are not connected yet. Its pairs grow with the square of a family of documents that are just
-below the threshold to each other; nothing but the verification of each can tell which of them are copies.
+The fingerprints are worked off in rounds. All documents take part in all rounds and all links count; only pairs that
+the links of earlier rounds already connect are not made again, as they add nothing to the components. In the first
+rounds, over one and two fingerprints, each document of a variant pairs only with the most central one, which connects
+a dense group of copies with few pairs. A shared variant does not prove a link, so the last round, over all
+fingerprints, pairs every two documents that share a variant and are not connected yet; the pairs of a dense group,
+connected by then, do not grow with its square. Those of a family of documents that are just below the threshold to
+each other do; nothing but the verification of each can tell which of them are copies. Components are those of the
+links of all rounds.
 
 The angle holds for large sets only, so documents of at most 32 shingles take no part in this. Their links, also those
 with larger documents, are found exactly: two sets of that similarity share one of the first shingles of both, in
 order from the rarest (prefix filter); documents that share one are compared by their sets.
 
-Defined results: documents without words are copies of each other; of rows that repeat an id one stays; rows
-without an id stay, as nothing tells them apart; an empty table gives an empty result; columns pass through.
+Defined results: documents without words (null, empty, blank) are copies of each other; of rows that repeat an id one
+stays, linked by the smallest signature of its texts; rows without an id stay, as nothing tells them apart; very long
+texts count with all their shingles; of a group the smallest id stays, so ties do not occur; an empty table gives an
+empty result; columns, of any name, pass through.
 """
 
 from __future__ import annotations
@@ -42,9 +45,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import id_bitmap, in_bitmap, materialize, release, ship
-from blocklens.llm.simhash import AT_ONCE, SEED, combos, components, majority, shingle_hashes
+from blocklens.llm.common import id_bitmap, marked, materialize, release, ship
+from blocklens.llm.simhash import SEED, combos, components, in_rows, majorities, shared_variants, shingle_hashes
 
+#: Bits of a fingerprint that meet by ball hashing.
+BITS = 40
 RADIUS = 2
 RECALL = 0.95
 #: Standard errors around the threshold inside which pairs are settled exactly.
@@ -66,12 +71,17 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def shape(n: int, similarity: float, recall: float = RECALL, radius: int = RADIUS) -> tuple[int, int]:
-    """(bits, tables) for n documents."""
-    bits = min(64, max(40, math.ceil(math.log2(max(2, n))) + 22))
+def needed_tables(similarity: float, bits: int, recall: float = RECALL, radius: int = RADIUS) -> int:
+    """Fingerprints that find a pair of that similarity with that probability."""
     p = differing_share(similarity)
     hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(2 * radius + 1))
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+
+
+def shape(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, tables) with which each of n documents meets less than 0.1 others by chance: advice for callers."""
+    bits = min(64, max(BITS, math.ceil(math.log2(max(2, n))) + 22))
+    return bits, needed_tables(similarity, bits, recall)
 
 
 def _remix(hashes: np.ndarray, table: int) -> np.ndarray:
@@ -82,29 +92,29 @@ def _remix(hashes: np.ndarray, table: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(text: str | None, words: int, tables: int) -> bytes:
-    """The document's fingerprints, eight bytes each."""
-    hashes = np.unique(shingle_hashes(text, words, SEED))
-    return np.array([majority(_remix(hashes, t)) for t in range(tables)], "<u8").tobytes()
+def signatures(sets: list[np.ndarray], tables: int) -> list[bytes]:
+    """The fingerprints of shingle sets, eight bytes each."""
+    marks = [np.stack([majorities(_remix(hashes, t), sizes) for t in range(tables)], axis=1) for hashes, sizes in in_rows(sets)]
+    return [x.astype("<u8").tobytes() for part in marks for x in part]
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words, SEED))
 
 
 def _signatures(batches, words: int, tables: int, longest: int):
     """doc_id, sig and, of sets of at most `longest`, the shingles."""
     release()
     for batch in batches:
-        texts = batch.column("__text").to_pylist()
-        sets = [x.view(np.int64) if len(x := np.unique(shingle_hashes(t, words, SEED))) <= longest else None for t in texts]
-        marks = [signature(t, words, tables) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "sig", "few"])
+        sets = [shingle_set(t, words) for t in batch.column("__text").to_pylist()]
+        few = [x.view(np.int64) if len(x) <= longest else None for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signatures(sets, tables), pa.binary()), pa.array(few, pa.list_(pa.int64()))], ["doc_id", "sig", "few"])
 
 
-def rounds(tables: int) -> list[range]:
-    """Tables of each round."""
-    out, at, size = [], 0, 1
-    while at < tables:
-        out.append(range(at, min(at + size, tables)))
-        at, size = at + size, 2 * size
-    return out
+def rounds(tables: int) -> list[tuple[range, bool]]:
+    """(tables, whole) of each round: stars of the first one, of the next two, then all pairs of all."""
+    stars = [x for x in (range(min(1, tables)), range(1, min(3, tables))) if len(x)]
+    return [*((x, False) for x in stars), (range(tables), True)]
 
 
 def _emitted(batches, bits: int, chosen: range, parities: int):
@@ -130,44 +140,12 @@ def _emitted(batches, bits: int, chosen: range, parities: int):
             )
 
 
-def _shared_variants(c: np.ndarray, fps: np.ndarray, classes):
-    """Slices of the variants of one variant hash: those that several documents share, and place (of the variant) and row of each that has one."""
-    members = []
-    for i, (_, masks) in enumerate(classes):
-        at = np.flatnonzero(c == i)
-        members.append((at, masks))
-    total = sum(len(at) * len(masks) for at, masks in members)
-    slices = 1 << max(0, math.ceil(math.log2(max(1, total) / AT_ONCE)))
-    for s in range(slices):
-        variants, owners = [], []
-        for at, masks in members:
-            step = max(1, AT_ONCE // (2 * len(masks)))
-            for i in range(0, len(at), step):
-                rows = at[i : i + step]
-                v = (fps[rows][:, None] ^ masks[None, :]).ravel()
-                o = np.repeat(rows.astype(np.int32), len(masks))
-                if slices > 1:
-                    keep = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(slices - 1) == s
-                    v, o = v[keep], o[keep]
-                variants.append(v)
-                owners.append(o)
-        v, o = np.concatenate(variants), np.concatenate(owners)
-        ordered = np.sort(v)
-        shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if not len(shared):
-            continue
-        place = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
-        hit = shared[place] == v
-        place, row = place[hit], o[hit]
-        yield shared, place, row
-
-
 def _star_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, classes):
     """Pairs of the documents of one variant hash that share a variant: a star for each variant, without pairs of one root.
 
     The centre is the member that shares most variants, so that the stars of a dense group have few centres.
     """
-    for _, place, row in _shared_variants(c, fps, classes):
+    for _, place, row in shared_variants(c, fps, classes):
         shares = np.bincount(row, minlength=len(ids))[row]
         who = ids[row]
         order = np.lexsort((who, -shares, place))
@@ -198,7 +176,7 @@ def _all_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarra
         a, b = ids[x[keep]], ids[y[keep]]
         return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
-    for shared, place, row in _shared_variants(c, fps, classes):
+    for shared, place, row in shared_variants(c, fps, classes):
         order = np.argsort(place, kind="stable")
         row = row[order]
         sizes = np.bincount(place, minlength=len(shared))
@@ -269,12 +247,11 @@ def _distances(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))], ["a", "b", "d"])
 
 
-def _shingle_sets(batches, words: int, bitmap: bytes):
-    """doc_id and shingle set of the documents of the bitmap."""
+def _shingle_sets(batches, words: int):
+    """doc_id and shingle set."""
     release()
-    for whole in batches:
-        batch = whole.filter(pa.array(in_bitmap(whole.column("doc_id").to_numpy(), bitmap)))
-        sets = [np.unique(shingle_hashes(t, words, SEED)).tobytes() for t in batch.column("__text").to_pylist()]
+    for batch in batches:
+        sets = [shingle_set(t, words).tobytes() for t in batch.column("__text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
@@ -296,12 +273,30 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
 
-def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity: float, bits: int, tables: int, chosen: range, whole: bool) -> DataFrame:
-    """a, b: verified links between heads (doc_id, sig, root) of different roots that the chosen tables find; docs: doc_id, __text.
+class ShingleSets:
+    """The shingle sets of the documents that were asked for so far; a set is made once, for all rounds."""
+
+    def __init__(self, docs: DataFrame, words: int):
+        self.docs, self.words, self.known = docs, words, None
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """doc_id, shingles of the asked ids at least; of an id with several texts the smallest."""
+        asked = asked.distinct()
+        new = materialize(asked if self.known is None else asked.join(self.known.select("doc_id"), "doc_id", "left_anti"))
+        if not new.isEmpty():
+            texts = self.docs.where(marked(F.col("doc_id"), id_bitmap(new))).join(new, "doc_id", "left_semi")
+            sets = texts.mapInArrow(partial(_shingle_sets, words=self.words), "doc_id long, shingles binary")
+            sets = materialize(sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+            self.known = sets if self.known is None else self.known.unionByName(sets)
+        return self.known
+
+
+def near_links(sets: ShingleSets, heads: DataFrame, n: int, similarity: float, bits: int, tables: int, chosen: range, whole: bool) -> DataFrame:
+    """a, b: verified links between heads (doc_id, sig, root) of different roots that the chosen tables find.
 
     whole: of all pairs that share a variant, else of a star for each variant.
     """
-    parities = min(16, max(4, math.ceil(math.log2(max(1, n) / PER_GROUP))))
+    parities = min(26, max(4, math.ceil(math.log2(max(1, n) / PER_GROUP))))
     rows = heads.mapInArrow(partial(_emitted, bits=bits, chosen=chosen, parities=parities), "h int, c short, fp long, doc_id long, root long")
     pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_pairs, bits=bits, parities=parities, whole=whole), "a long, b long").distinct()
     p, size = differing_share(similarity), 64 * tables
@@ -311,9 +306,7 @@ def near_links(docs: DataFrame, heads: DataFrame, n: int, words: int, similarity
     if unclear.isEmpty():
         return clear
     asked = unclear.select(F.col("a").alias("doc_id")).unionByName(unclear.select(F.col("b").alias("doc_id")))
-    sets = docs.mapInArrow(partial(_shingle_sets, words=words, bitmap=id_bitmap(asked)), "doc_id long, shingles binary")
-    sets = materialize(sets.join(asked.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
-    return clear.unionByName(_with_both(unclear, sets, "shingles").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
+    return clear.unionByName(_with_both(unclear, sets.of(asked), "shingles").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
 
 
 def _short_links(batches, similarity: float):
@@ -383,10 +376,10 @@ def _rooted(heads: DataFrame, links: DataFrame) -> DataFrame:
     return heads.join(roots, "doc_id", "left").select("doc_id", "sig", "few", F.coalesce("__root", "root").alias("root"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL, bits: int = BITS) -> DataFrame:
     """docs with one row for each group of near copies; columns as given."""
     ship(docs.sparkSession)
-    bits, tables = shape(docs.count(), similarity, recall)
+    tables = needed_tables(similarity, bits, recall)
     named = docs.where("doc_id is not null")
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
     longest = math.floor(SHORT / similarity + 1e-9)
@@ -399,9 +392,10 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     if not found.isEmpty():
         links = found
         heads = materialize(_rooted(heads, links))
-    for chosen, whole in [*((x, False) for x in rounds(tables)), (range(tables), True)]:
+    sets = ShingleSets(texts, words)
+    for chosen, whole in rounds(tables):
         long = heads.where(F.col("few").isNull() | (F.size("few") > SHORT)).select("doc_id", "sig", "root")
-        found = materialize(near_links(texts, long, n, words, similarity, bits, tables, chosen, whole))
+        found = materialize(near_links(sets, long, n, similarity, bits, tables, chosen, whole))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             heads = materialize(_rooted(heads, links))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import materialize, ship
+from blocklens.llm.common import HOT, join_split, materialize, ship
 
 BITS = 64
 SEED = 42
@@ -58,26 +58,41 @@ def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray
     return np.array([hashed(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """64-bit fingerprint: a bit is 1 if set in over half the hashes."""
-    n = len(hashes)
-    if not n:
-        return 0
-    counts = np.zeros(BITS, np.int64)
-    whole = n - n % 255
+def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of sets that stand in a row in `hashes`: a bit is 1 if set in over half a set's hashes."""
+    out = np.zeros(len(sizes), np.uint64)
+    there = np.flatnonzero(sizes)
+    if not len(there):
+        return out
+    n = sizes[there]
+    pieces = -(-n // 255)  # a byte counts to 255
+    firsts, begins = np.cumsum(n) - n, np.cumsum(pieces) - pieces
+    starts = np.repeat(firsts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(begins, pieces))
+    counts = np.empty((len(n), BITS), np.int64)
     for bit in range(8):
         lanes = (hashes >> np.uint64(bit)) & LANES  # eight counters, a byte each
-        parts = [lanes[:whole].reshape(-1, 255).sum(axis=1, dtype=np.uint64)] if whole else []
-        parts.append(lanes[whole:].sum(keepdims=True, dtype=np.uint64))
-        bytes_ = np.concatenate(parts).astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-        counts[bit::8] = bytes_
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        bytes_ = np.add.reduceat(lanes, starts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts[:, bit::8] = np.add.reduceat(bytes_, begins, axis=0, dtype=np.int64)
+    out[there] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def in_rows(sets: list[np.ndarray], at_once: int = 1 << 18):
+    """Stretches of about at_once hashes: (hashes in a row, sizes of the sets)."""
+    part, total = [], 0
+    for i, x in enumerate(sets):
+        part.append(x)
+        total += len(x)
+        if total >= at_once or i == len(sets) - 1:
+            yield np.concatenate(part), np.fromiter(map(len, part), np.int64, len(part))
+            part, total = [], 0
 
 
 def _fingerprints(batches, words: int, seed: int):
     for batch in batches:
-        marks = [majority(shingle_hashes(t, words, seed)) for t in batch.column("__text").to_pylist()]
-        signed = np.array(marks, np.uint64).view(np.int64)
+        sets = [shingle_hashes(t, words, seed) for t in batch.column("__text").to_pylist()]
+        marks = [majorities(*x) for x in in_rows(sets)]
+        signed = np.concatenate([np.empty(0, np.uint64), *marks]).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.int64())], ["doc_id", "fp"])
 
 
@@ -118,48 +133,72 @@ def variant_hash(fp, parities: int):
     return out
 
 
-def _stars(variants: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smaller, larger) of the owners of equal variants, from the smallest owner of each."""
-    ordered = np.sort(variants)
-    shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(shared):
-        return owners[:0], owners[:0]
-    at = np.searchsorted(shared, variants)
-    hit = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == variants)
-    at, who = at[hit], owners[hit]
-    order = np.lexsort((who, at))
-    at, who = at[order], who[order]
-    first = np.concatenate(([True], at[1:] != at[:-1]))
-    least = who[first][np.cumsum(first) - 1]
-    other = least != who
-    return least[other], who[other]
+#: Sets of bits whose parities deal the variants of a group to slices: linear, so a flip's slice is known beforehand.
+_DEALT = np.random.default_rng(SEED).integers(0, 1 << 63, 40, dtype=np.uint64)
 
 
-def _group_links(changes: np.ndarray, fps: np.ndarray, parities: int, radius: int) -> np.ndarray:
-    """Verified, deduplicated links of one variant hash: rows (a, b)."""
-    classes = flips(parities, radius)
-    members = [(fps[changes == c], masks) for c, (_, masks) in enumerate(classes)]
-    total = sum(len(f) * len(m) for f, m in members)
-    slices = 1 << max(0, math.ceil(math.log2(max(1, total) / AT_ONCE)))
-    found = []
-    for s in range(slices):
+def _slice_of(values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(values), np.int64)
+    for j in range(n):
+        out |= (np.bitwise_count(values & _DEALT[j]).astype(np.int64) & 1) << j
+    return out
+
+
+def shared_variants(changes: np.ndarray, fps: np.ndarray, classes: list[tuple[int, np.ndarray]]):
+    """Of the fingerprints of one variant hash, slice by slice: the variants that several rows have, and place (of the
+    variant) and row of each that has one.
+
+    A slice holds about AT_ONCE variants. Every variant is made once, in its slice: the slice of fingerprint and flip
+    together is the exclusive or of theirs.
+    """
+    total = sum(int((changes == c).sum()) * len(masks) for c, (_, masks) in enumerate(classes))
+    n = max(0, math.ceil(math.log2(max(1, total) / AT_ONCE)))
+    own = _slice_of(fps, n)
+    parts = []
+    for c, (_, masks) in enumerate(classes):
+        at = np.flatnonzero(changes == c)
+        if len(at):
+            moves = _slice_of(masks, n)
+            rows = {g: at[own[at] == g] for g in np.unique(own[at]).tolist()}
+            parts.append((rows, [(y, masks[moves == y]) for y in np.unique(moves).tolist()]))
+    for s in range(1 << n):
         variants, owners = [], []
-        for f, masks in members:
-            step = max(1, AT_ONCE // (4 * len(masks)))
-            for i in range(0, len(f), step):
-                own = f[i : i + step]
-                v = (own[:, None] ^ masks[None, :]).ravel()
-                o = np.repeat(own, len(masks))
-                if slices > 1:
-                    keep = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(slices - 1) == s
-                    v, o = v[keep], o[keep]
-                variants.append(v)
-                owners.append(o)
-        a, b = _stars(np.concatenate(variants), np.concatenate(owners))
-        near = np.bitwise_count(a ^ b) <= 2 * radius
-        found.append(np.unique(np.stack([a[near], b[near]], axis=1), axis=0))
-    links = np.unique(np.concatenate(found), axis=0)
-    return _spanning(links)
+        for rows, flipped in parts:
+            for y, masks in flipped:
+                who = rows.get(s ^ y)
+                if who is not None:
+                    variants.append((fps[who][:, None] ^ masks[None, :]).ravel())
+                    owners.append(np.repeat(who.astype(np.int32), len(masks)))
+        if not variants:
+            continue
+        v, o = np.concatenate(variants), np.concatenate(owners)
+        ordered = np.sort(v)
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        if not len(again):
+            continue
+        shared = again[np.concatenate(([True], again[1:] != again[:-1]))]
+        # a bitmap spares the search for most of the others
+        mixed = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        bits = np.zeros(1 << 20, bool)
+        bits[mixed(shared)] = True
+        near = np.flatnonzero(bits[mixed(v)])
+        place = np.minimum(np.searchsorted(shared, v[near]), len(shared) - 1)
+        hit = shared[place] == v[near]
+        yield shared, place[hit], o[near[hit]]
+
+
+def _group_links(changes: np.ndarray, fps: np.ndarray, parities: int, radius: int) -> np.ndarray:
+    """Verified, deduplicated links of one variant hash: rows (a, b), from the smallest owner of each variant to the others."""
+    found = [np.empty((0, 2), np.uint64)]
+    for _, place, row in shared_variants(changes, fps, flips(parities, radius)):
+        who = fps[row]
+        order = np.lexsort((who, place))
+        place, who = place[order], who[order]
+        first = np.concatenate(([True], place[1:] != place[:-1]))
+        least = who[first][np.cumsum(first) - 1]
+        near = (least != who) & (np.bitwise_count(least ^ who) <= 2 * radius)
+        found.append(np.unique(np.stack([least[near], who[near]], axis=1), axis=0))
+    return _spanning(np.unique(np.concatenate(found), axis=0))
 
 
 def _spanning(links: np.ndarray) -> np.ndarray:
@@ -221,11 +260,13 @@ def ball_links(fps: DataFrame, n: int, radius: int = 2) -> DataFrame:
 # --- components ---------------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, hot: int = HOT) -> DataFrame:
     """node, root: the smallest node reachable, for every node of links (columns a, b).
 
     Alternating stars: large-star hangs a node's larger neighbours on its smallest neighbour, small-star the
-    smaller ones; rounds are logarithmic in practice, and no neighbourhood is ever gathered in one task.
+    smaller ones; rounds are logarithmic in practice. The smallest neighbour is a combinable minimum, and a node
+    with more than `hot` neighbours is dealt to many tasks when they learn of it (join_split), so no neighbourhood
+    is ever gathered in one task.
     """
     pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     edges = materialize(pair(links.where("a <> b"), F.col("a"), F.col("b")).distinct())
@@ -234,11 +275,11 @@ def components(links: DataFrame) -> DataFrame:
         # large-star: all neighbours v > u go to min(N(u), u)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = join_split(both.where("v > u"), least, "u", hot).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         # small-star: the smaller neighbours of u, and u, go to the smallest
-        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = large.withColumnRenamed("b", "u").join(low, "u")
-        hung = small.select(F.col("m").alias("x"), F.explode(F.array("a", "u")).alias("y")).where("x <> y")
+        large = materialize(large.withColumnRenamed("b", "u"))
+        low = large.groupBy("u").agg(F.min("a").alias("m"))
+        hung = join_split(large, low, "u", hot).select(F.col("m").alias("x"), F.explode(F.array("a", "u")).alias("y")).where("x <> y")
         edges = materialize(pair(hung, F.col("x"), F.col("y")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
@@ -251,13 +292,13 @@ def linked(marks: DataFrame, radius: int = 2) -> DataFrame:
     heads = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("head")))
     links = materialize(ball_links(heads.select("fp"), heads.count(), radius))
     if links.isEmpty():
-        owner = heads.select(F.col("fp").alias("__fp"), F.col("head").alias("component_id"))
+        owner = heads.select("fp", F.col("head").alias("component_id"))
     else:
         roots = components(links)
-        placed = heads.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+        placed = materialize(heads.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "head", F.coalesce("root", "fp").alias("root")))
         smallest = placed.groupBy("root").agg(F.min("head").alias("component_id"))
-        owner = placed.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return marks.join(owner, F.col("fp") == F.col("__fp"), "left").drop("__fp")
+        owner = join_split(placed, smallest, "root").select("fp", "component_id")
+    return join_split(marks, owner, "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 2) -> DataFrame:
