@@ -7,12 +7,12 @@ any other text (characters above U+017F, controls, special strings) is encoded w
 Packing: bounded-space online best-fit. A packer keeps a fixed number of open bins in a bitset keyed by free
 space (bit f is set if an open bin has f places free), so the fullest bin that still takes a piece is found by
 a shift and the lowest set bit. When a bin must be opened and the fixed number is reached, the fullest closes.
-Pieces are dealt to packers by hash in groups of about `per_packer`; a packer loses at most its last bins, so
+Pieces are dealt to packers by hash (of their content and their place, so that equal rows part) in groups of about `per_packer`; a packer loses at most its last bins, so
 the loss does not grow with the corpus. Only the lengths of pieces are shuffled, never texts or identifiers.
 
 Defined results: null text is the empty text (one piece: the end identifier); a document longer than a sequence
-is cut into pieces of full length and a shorter last piece; repeated rows are packed each on its own; other
-columns are ignored; an empty table gives an empty result.
+is cut into pieces of full length and a shorter last piece; repeated rows are packed each on its own; bins of
+equal free space tie to the one opened or filled last; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -159,7 +159,8 @@ def packed(docs: DataFrame, path: str, length: int = 4096, open_bins: int = OPEN
     cut = materialize(pieces(docs, path, length))
     parts = max(1, math.ceil(cut.count() / per_packer))
     at = F.xxhash64("doc_id", "piece", "ids_crc32", "length")
-    dealt = cut.withColumn("__at", at).withColumn("__part", F.pmod(F.xxhash64("__at"), F.lit(parts)))
+    # the row's place in the written pieces deals equal rows to different packers, too
+    dealt = cut.withColumn("__at", at).withColumn("__part", F.pmod(F.xxhash64("__at", F.monotonically_increasing_id()), F.lit(parts)))
     kind = cut.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("__part").applyInPandas(partial(_packed, length=length, open_bins=open_bins), out)

@@ -9,7 +9,8 @@ Pre-tokens are cut with a pattern where all characters are below U+0250 and not
 classes are the same in every Unicode version; any other text is cut by the library's own pre-tokenizer.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); rows are independent, so repeated rows repeat
-their result; other columns are ignored; an empty table gives an empty result.
+their result and ties do not occur; a very long text is counted whole, pre-token by pre-token, and a pre-token of any
+length by its own heap; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ class MergeCounts(dict):
     def __missing__(self, word: str) -> int:
         byte = self.byte
         n = self.merged([byte[b] for b in word.encode()])
-        if len(self) < self.kept:
+        if len(self) < self.kept and len(word) < 100:  # long runs are not worth their memory
             self[word] = n
         return n
 
