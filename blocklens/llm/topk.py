@@ -1,19 +1,21 @@
 """Exact top-k inner-product search by no-random-access aggregation (NRA).
 
-Vectors are cut into blocks. In a block every dimension is a list sorted by component; a query reads the list
-of dimension d from its top (from its bottom where the query's component is negative), so that contributions
-fall along the list. After reading to a depth, a vector's score is bounded below by what was read plus the
-lowest contribution of each unread list, and above by what was read plus the contribution at the reading
-position of each unread list. The k-th best lower bound closes the race for every vector whose upper bound is
-smaller; reading stops when no outsider can qualify, and the scores of the survivors are resolved exactly.
-The bounds of a batch of queries are matrix products, as what has been read depends only on the depth and the
-sign of the query's component.
-
-The stated query set meets all rows block by block; winners of each block are merged per query.
+The stated queries go in lanes of bounded bytes; for each lane every task works through its own rows, which stay
+where they are, block by block. In a block every dimension is a list sorted by component. A query reads the list of
+dimension d from its top (from its bottom where the query's component is negative), so that contributions fall along
+the list. Contributions are counted from the least the list can give, so what has been read is a lower bound of a
+row's score, and that plus the contribution at the reading position of each unread list an upper one. Lists are read
+in growing prefixes. The best k lower bounds of the block, the best k scores of the task's earlier blocks and a
+bounded seed of rows scored beforehand give the score to beat; a row whose upper bound is below it is out. A query
+stops reading when no row but few can qualify, and the scores of those are resolved exactly. The bounds of a batch
+of queries are matrix products, as what has been read depends only on the depth and the sign of the query's component.
+
+Winners of each task are merged per query.
 
 Defined results: null ids, null vectors and vectors with null or non-finite components take no part; vectors
 meet only vectors of their own length; rows that repeat a vec_id count once (the smallest vector); ties go to
-the smaller vec_id; an empty table gives an empty result. Scores must fit a long.
+the smaller vec_id; very long vectors only make lanes and blocks smaller in rows; other columns, of any name, are
+ignored; an empty table gives an empty result. Scores must fit a long.
 """
 
 from __future__ import annotations
@@ -22,16 +24,23 @@ import math
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.llm.common import materialize, ship
 
-BLOCK = 4096
-QUERY_BLOCK = 2048
+#: Rows of a block; components of a block and of a lane of queries, at most about.
+BLOCK, BLOCK_COMPONENTS, LANE_COMPONENTS = 4096, 1 << 20, 1 << 20
+#: Rows that give each query a first score to beat.
+SEED_ROWS = 1024
+#: Rows of a written part.
+PART_ROWS = 8192
+#: Queries whose bounds are computed at once.
+BATCH = 64
 #: Integers up to here add up exactly in double precision over a vector.
 EXACT = 2**53
+NONE = np.iinfo(np.int64).min
 
 
 def quantized(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -42,69 +51,157 @@ def quantized(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vec
     return vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(v).alias("v"))
 
 
-def nra(queries: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the indexes of rows that can be among its k best (all ties included)."""
-    n = len(rows)
+class Lists:
+    """A block: its rows and, of every dimension, the sorted list and each row's place in it."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows.astype(np.float64)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(len(rows))[:, None], axis=0)
+        self.sorted = np.take_along_axis(self.rows, order, axis=0)
+        self.above, self.below = self.rows - self.sorted[0], self.rows - self.sorted[-1]  # from the least a list can give
+
+
+def prefixes(n: int, k: int) -> list[int]:
+    """Depths at which bounds are compared."""
+    return sorted({min(n, max(k, math.ceil(n * x))) for x in (1 / 64, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)})
+
+
+def nra(queries: np.ndarray, block: Lists, k: int, floor: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query the rows that can be among its k best and reach its floor (all ties included), and the depth read."""
+    n = len(block.rows)
+    lanes, depths = [np.arange(n)] * len(queries), np.zeros(len(queries), np.int64)
     if n <= k:
-        return [np.arange(n)] * len(queries)
-    order = np.argsort(rows, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    lists = np.take_along_axis(rows, order, axis=0)
+        return lanes, depths
+    open_, before = np.arange(len(queries)), 0
     up, down = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
-    bottom = up * lists[0] + down * lists[-1]
-    alive = [None] * len(queries)
-    for depth in sorted({max(k, math.ceil(n * f)) for f in (0.5, 0.75, 0.875, 0.9375)} | {n}):
-        from_top = (rank >= n - depth).astype(np.float64)
-        from_bottom = (rank < depth).astype(np.float64)
-        read = up @ (rows * from_top).T + down @ (rows * from_bottom).T
-        sign_up, sign_down = (queries > 0).astype(np.float64), (queries < 0).astype(np.float64)
-
-        def bound(unread: np.ndarray, read=read, from_top=from_top, from_bottom=from_bottom, sign_up=sign_up, sign_down=sign_down) -> np.ndarray:
-            return read + unread.sum(axis=1)[:, None] - (unread * sign_up) @ from_top.T - (unread * sign_down) @ from_bottom.T
-
-        lower = bound(bottom)
-        upper = lower if depth == n else bound(up * lists[n - depth] + down * lists[depth - 1])
-        least = np.partition(lower, n - k, axis=1)[:, n - k]
-        alive = upper >= least[:, None]
-        if alive.sum() <= 4 * k * len(queries):
+    least = up @ block.sorted[0] + down @ block.sorted[-1]
+    lower = np.repeat(least[:, None], n, axis=1)
+    for depth in prefixes(n, k):
+        top, bottom = block.place >= n - depth, block.place < depth
+        new_top, new_bottom = top & (block.place < n - before), bottom & (block.place >= before)
+        lower += up @ (block.above * new_top).T + down @ (block.below * new_bottom).T
+        at_top, at_bottom = up * (block.sorted[n - depth] - block.sorted[0]), down * (block.sorted[depth - 1] - block.sorted[-1])
+        unread = (at_top + at_bottom).sum(axis=1)[:, None] - at_top @ top.T.astype(np.float64) - at_bottom @ bottom.T.astype(np.float64)
+        beat = np.maximum(floor[open_], np.partition(lower, n - k, axis=1)[:, n - k])
+        alive = lower + unread >= beat[:, None]
+        done = (alive.sum(axis=1) <= max(4 * k, n // 32)) | (depth == n)
+        for i in np.flatnonzero(done):
+            lanes[open_[i]], depths[open_[i]] = np.flatnonzero(alive[i]), depth
+        if done.all():
             break
-    return [np.flatnonzero(x) for x in alive]
-
-
-def _block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    found = {"query_id": [], "vec_id": [], "score": []}
-    if len(rows) and len(queries):
-        ids = rows["vec_id"].to_numpy()
-        data = np.stack(rows["v"].to_numpy())
-        asked, wanted = queries["vec_id"].to_numpy(), np.stack(queries["v"].to_numpy())
-        small = data.shape[1] == 0 or int(np.abs(data).max(initial=0)) * int(np.abs(wanted).max(initial=0)) * max(1, data.shape[1]) < EXACT // 4
-        for at in range(0, len(asked), 256):
-            batch = wanted[at : at + 256]
-            lanes = nra(batch.astype(np.float64), data.astype(np.float64), k + 1) if small and data.shape[1] else [np.arange(len(ids))] * len(batch)
-            for query, own, lane in zip(batch, asked[at : at + 256], lanes, strict=True):
-                lane = lane[ids[lane] != own]
+        open_, up, down, lower, before = open_[~done], up[~done], down[~done], lower[~done], depth
+    return lanes, depths
+
+
+class Race:
+    """The k best rows so far of every query of a lane, of one length of vectors."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
+        self.ids, self.queries, self.k, self.floor = ids, queries, k, floor.copy()
+        self.rows = np.full((len(ids), k), NONE)
+        self.scores = np.full((len(ids), k), NONE)
+        self.largest = int(np.abs(queries).max(initial=0))
+
+    def run(self, ids: np.ndarray, data: np.ndarray) -> None:
+        """Let the rows of a block take part."""
+        width = data.shape[1]
+        small = int(np.abs(data).max(initial=0)) * self.largest * max(1, width) < EXACT // 4
+        block = Lists(data) if small and width else None
+        for at in range(0, len(self.ids), BATCH):
+            asked = self.queries[at : at + BATCH]
+            floor = np.where(self.floor[at : at + BATCH] == NONE, -np.inf, self.floor[at : at + BATCH].astype(np.float64))
+            lanes = nra(asked.astype(np.float64), block, self.k + 1, floor)[0] if block else [np.arange(len(ids))] * len(asked)
+            for i, (query, lane) in enumerate(zip(asked, lanes, strict=True), at):
+                lane = lane[ids[lane] != self.ids[i]]
+                if not len(lane):
+                    continue
                 if small:
-                    scores = data[lane] @ query if len(lane) else np.empty(0, np.int64)
+                    scores = data[lane] @ query
                 else:  # components too large for exact doubles: unbounded integers
-                    scores = np.array([sum(int(a) * int(b) for a, b in zip(data[i], query, strict=True)) for i in lane], dtype=object)
-                best = np.lexsort((ids[lane], -scores))[:k] if len(lane) else []
-                found["query_id"] += [own] * len(best)
-                found["vec_id"] += list(ids[lane][best])
-                found["score"] += [int(x) for x in scores[best]] if len(best) else []
-    return pd.DataFrame({c: pd.Series(v, dtype="int64") for c, v in found.items()})
+                    scores = np.array([sum(int(a) * int(b) for a, b in zip(data[j], query, strict=True)) for j in lane], np.int64)
+                self.take(i, ids[lane], scores)
+
+    def take(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        there = self.scores[i] != NONE
+        ids, scores = np.concatenate([self.rows[i][there], ids]), np.concatenate([self.scores[i][there], scores])
+        best = np.lexsort((ids, -scores))[: self.k]
+        self.rows[i, : len(best)], self.scores[i, : len(best)] = ids[best], scores[best]
+        if len(best) == self.k:
+            self.floor[i] = max(self.floor[i], scores[best[-1]])
+
+    def winners(self) -> pa.RecordBatch:
+        """query_id, vec_id, score of what can be among the k best of all tasks."""
+        i, j = np.nonzero((self.scores != NONE) & (self.scores >= self.floor[:, None]))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(self.rows[i, j]), pa.array(self.scores[i, j])], ["query_id", "vec_id", "score"])
+
+
+def _stack(vectors: list, width: int) -> np.ndarray:
+    return np.array(vectors, np.int64).reshape(len(vectors), width)
+
+
+def _search(batches, shared, k: int, block: int):
+    """Rows (vec_id, v) of a task -> the winners of each query of the lane."""
+    races = {width: Race(*asked, k) for width, asked in shared.value.items()}
+    waiting: dict[int, tuple[list, list]] = {}
+
+    def run(width):
+        ids, vectors = waiting.pop(width)
+        races[width].run(np.array(ids, np.int64), _stack(vectors, width))
+
+    for batch in batches:
+        for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("v"), strict=True):
+            width = len(v)
+            if width in races:
+                ids, vectors = waiting.setdefault(width, ([], []))
+                ids.append(vec_id)
+                vectors.append(v.values.to_numpy())
+                if len(ids) >= min(block, max(64, BLOCK_COMPONENTS // max(1, width))):
+                    run(width)
+    for width in list(waiting):
+        run(width)
+    for race in races.values():
+        yield race.winners()
+
+
+def _lane(asked: DataFrame, seeds: list, k: int) -> dict:
+    """width -> (ids, queries, scores to beat) of the queries of a lane."""
+    by_width: dict[int, tuple[list, list]] = {}
+    for r in asked.select("vec_id", "v").toArrow().to_pylist():  # bounded by LANE_COMPONENTS
+        ids, vectors = by_width.setdefault(len(r["v"]), ([], []))
+        ids.append(r["vec_id"])
+        vectors.append(r["v"])
+    out = {}
+    for width, (ids, vectors) in by_width.items():
+        race = Race(np.array(ids, np.int64), _stack(vectors, width), np.full(len(ids), NONE), k)
+        known = [r for r in seeds if len(r["v"]) == width]
+        if known:
+            race.run(np.array([r["vec_id"] for r in known], np.int64), _stack([r["v"] for r in known], width))
+        out[width] = (race.ids, race.queries, race.floor)
+    return out
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of every query row (vec_id divisible by `every`)."""
-    ship(vectors.sparkSession)
-    rows = materialize(quantized(vectors, scale).withColumn("dim", F.size("v")))
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = quantized(vectors, scale).withColumn("dim", F.size("v"))
+    n = vectors.count()
+    rows = materialize(rows.repartition(max(1, math.ceil(n / PART_ROWS))))
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n_rows, n_asked = rows.count(), asked.count()
-    blocks, query_blocks = max(1, math.ceil(n_rows / BLOCK)), max(1, math.ceil(n_asked / QUERY_BLOCK))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    data = rows.withColumn("b", spread(blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    probes = asked.withColumn("q", spread(query_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = data.groupBy("dim", "b", "q").cogroup(probes.groupBy("dim", "b", "q")).applyInPandas(partial(_block, k=k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    components = asked.agg(F.sum(F.greatest("dim", F.lit(1)))).first()[0] or 0
+    lanes = math.ceil(components / LANE_COMPONENTS)
+    seeds = rows.limit(SEED_ROWS).select("vec_id", "v").toArrow().to_pylist()  # scores to beat only: all rows are read below
+    schema = "query_id long, vec_id long, score long"
+    found = spark.createDataFrame([], schema)
+    for lane in range(lanes):
+        own = asked if lanes == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(lanes)) == lane)
+        shared = spark.sparkContext.broadcast(_lane(own, seeds, k))
+        best = rows.select("vec_id", "v").mapInArrow(partial(_search, shared=shared, k=k, block=BLOCK), schema)
+        if lanes > 1:
+            best = materialize(best)
+            shared.destroy()
+        found = found.unionByName(best)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from blocklens.llm import neardup, queries
+from blocklens.llm import neardup, queries, topk
 from blocklens.llm.fingerprints import canonical
 from blocklens.llm.langid import predict_languages
 from blocklens.llm.linededup import dedup_lines
@@ -23,7 +23,7 @@ from blocklens.llm.packing import Packer, WordIds, pack
 from blocklens.llm.pii import reliabilities
 from blocklens.llm.simhash import _group_links, combos, components, flips, shingle_hashes, variant_hash
 from blocklens.llm.tokencount import MergeCounts
-from blocklens.llm.topk import nra
+from blocklens.llm.topk import Lists, nra
 from blocklens.llm.toxicity import Codes, Network, Scorer, train, windows, word_codes
 from tests.conftest import DATA
 from tests.oracle import duck_rows, spark_rows
@@ -366,16 +366,41 @@ def test_water_filling_and_words_taken(spark, table):
 # --- search
 
 
-@pytest.mark.parametrize("clustered", [False, True])
-def test_nra_keeps_every_winner(clustered):
+@pytest.mark.parametrize("kind", ["even", "clustered", "skewed"])
+def test_nra_bounds_are_sound_and_skewed_lists_are_not_read_to_the_end(kind):
     rng = np.random.default_rng(3)
-    rows = rng.integers(-900, 900, (700, 16)).astype(float)
-    if clustered:
-        rows = np.round(rows / 300 + 500 * rng.integers(-1, 2, (1, 16)) * rng.integers(0, 3, (700, 1)))
+    rows = rng.integers(-900, 900, (1400, 16)).astype(float)
+    if kind == "clustered":
+        rows = np.round(rows / 300 + 500 * rng.integers(-1, 2, (1, 16)) * rng.integers(0, 3, (1400, 1)))
+    if kind == "skewed":
+        rows = np.round(rng.pareto(1.2, (1400, 16)) * 20)
     queries_ = rows[::50]
-    for q, lane in zip(queries_, nra(queries_, rows, 10), strict=True):
-        scores = rows @ q
-        assert set(np.flatnonzero(scores >= np.sort(scores)[-10])) <= set(lane.tolist())
+    floors = [np.full(len(queries_), -np.inf), np.sort(queries_ @ rows.T, axis=1)[:, -15]]  # nothing known, and a score to beat
+    for floor in floors:
+        lanes, depths = nra(queries_, Lists(rows), 10, floor)
+        for q, lane in zip(queries_, lanes, strict=True):
+            scores = rows @ q
+            assert set(np.flatnonzero(scores >= np.sort(scores)[-10])) <= set(lane.tolist())
+        assert (depths <= 1400).all()
+        if kind == "skewed":
+            assert np.median(depths) <= 1400 / 4 and (depths < 1400).mean() > 0.9
+    # a score to beat from elsewhere shortens the reading
+    far, none = (nra(queries_, Lists(rows), 10, f)[1].mean() for f in (floors[1] * 1.5 + 1e4, floors[0]))
+    assert far <= none
+
+
+def test_blocks_lanes_and_tasks_give_the_same_winners(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in rng.permutation(900)]  # many ties
+    want = []
+    data = {i: [int(1024 * x) for x in v] for i, v in rows}
+    for q in (i for i in data if i % 20 == 0):
+        ranked = sorted((-sum(a * b for a, b in zip(data[q], v, strict=True)), i) for i, v in data.items() if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
+    for name, value in (("BLOCK", 100), ("LANE_COMPONENTS", 100), ("PART_ROWS", 250), ("SEED_ROWS", 30)):
+        monkeypatch.setattr(topk, name, value)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
 # --- personal data
