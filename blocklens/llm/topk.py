@@ -37,7 +37,7 @@ SEED_ROWS = 1024
 #: Rows of a written part.
 PART_ROWS = 8192
 #: Queries whose bounds are computed at once.
-BATCH = 64
+BATCH = 256
 #: Integers up to here add up exactly in double precision over a vector.
 EXACT = 2**53
 NONE = np.iinfo(np.int64).min
@@ -60,12 +60,13 @@ class Lists:
         self.place = np.empty_like(order)
         np.put_along_axis(self.place, order, np.arange(len(rows))[:, None], axis=0)
         self.sorted = np.take_along_axis(self.rows, order, axis=0)
-        self.above, self.below = self.rows - self.sorted[0], self.rows - self.sorted[-1]  # from the least a list can give
+        # from the least a list can give, read from its top and from its bottom
+        self.above = np.concatenate([self.rows - self.sorted[0], self.rows - self.sorted[-1]], axis=1)
 
 
 def prefixes(n: int, k: int) -> list[int]:
     """Depths at which bounds are compared."""
-    return sorted({min(n, max(k, math.ceil(n * x))) for x in (1 / 64, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)})
+    return sorted({min(n, max(k, math.ceil(n * x))) for x in (1 / 64, 1 / 16, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)})
 
 
 def nra(queries: np.ndarray, block: Lists, k: int, floor: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -75,15 +76,15 @@ def nra(queries: np.ndarray, block: Lists, k: int, floor: np.ndarray) -> tuple[l
     if n <= k:
         return lanes, depths
     open_, before = np.arange(len(queries)), 0
-    up, down = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
-    least = up @ block.sorted[0] + down @ block.sorted[-1]
+    sides = np.concatenate([np.maximum(queries, 0.0), np.minimum(queries, 0.0)], axis=1)  # read from the top, from the bottom
+    least = sides @ np.concatenate([block.sorted[0], block.sorted[-1]])
     lower = np.repeat(least[:, None], n, axis=1)
     for depth in prefixes(n, k):
-        top, bottom = block.place >= n - depth, block.place < depth
-        new_top, new_bottom = top & (block.place < n - before), bottom & (block.place >= before)
-        lower += up @ (block.above * new_top).T + down @ (block.below * new_bottom).T
-        at_top, at_bottom = up * (block.sorted[n - depth] - block.sorted[0]), down * (block.sorted[depth - 1] - block.sorted[-1])
-        unread = (at_top + at_bottom).sum(axis=1)[:, None] - at_top @ top.T.astype(np.float64) - at_bottom @ bottom.T.astype(np.float64)
+        read = np.concatenate([block.place >= n - depth, block.place < depth], axis=1)
+        new = read & np.concatenate([block.place < n - before, block.place >= before], axis=1)
+        lower += sides @ (block.above * new).T
+        ahead = sides * np.concatenate([block.sorted[n - depth] - block.sorted[0], block.sorted[depth - 1] - block.sorted[-1]])
+        unread = ahead.sum(axis=1)[:, None] - ahead @ read.T.astype(np.float64)
         beat = np.maximum(floor[open_], np.partition(lower, n - k, axis=1)[:, n - k])
         alive = lower + unread >= beat[:, None]
         done = (alive.sum(axis=1) <= max(4 * k, n // 32)) | (depth == n)
@@ -91,7 +92,7 @@ def nra(queries: np.ndarray, block: Lists, k: int, floor: np.ndarray) -> tuple[l
             lanes[open_[i]], depths[open_[i]] = np.flatnonzero(alive[i]), depth
         if done.all():
             break
-        open_, up, down, lower, before = open_[~done], up[~done], down[~done], lower[~done], depth
+        open_, sides, lower, before = open_[~done], sides[~done], lower[~done], depth
     return lanes, depths
 
 
