@@ -442,6 +442,41 @@ def test_base_spans_equal_the_patterns(spark, table):
         assert set(want) <= set(got[i]["spans"].split(",")) | {""}
 
 
+def test_wide_spans_are_accepted_and_rejected_by_the_classifier(spark):
+    from blocklens.llm.pii import find_personal_data
+
+    rng = random.Random(12)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = []
+    for i in range(120):
+        texts += [f"mail me at user{i}@corp.org", f"server 10.1.2.{i}", f"call +1 (415) 555-{1000 + i}", f'token = "{hexes(40)}"', f"a version {i}.0.{i}.1 and page {i}"]
+    accepted = {"secret": 'api key: "' + hexes(40) + '" end', "email": "contact joe [at] corp [dot] com now", "phone": "phone 415-555-0199 today"}
+    rejected = {"secret": "see " + "ab1" * 9 + " there", "phone": "order 000-000-0000 sent"}
+    at = len(texts)
+    rows = [*texts, *accepted.values(), *rejected.values()]
+    got = {r["doc_id"]: r for r in find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for n, (kind, text) in enumerate(accepted.items(), at):
+        assert got[n]["spans"].startswith(f"{kind}:") and got[n]["n_spans"] == 1, (text, got[n])
+        _, start, end = got[n]["spans"].split(":")
+        assert text[int(start) : int(end)] in ("joe [at] corp [dot] com", "415-555-0199") or len(text[int(start) : int(end)]) == 40
+    for n, text in enumerate(rejected.values(), at + len(accepted)):
+        assert got[n]["spans"] == "" and got[n]["n_spans"] == 0, (text, got[n])
+    assert all(got[i]["n_secret"] == ("token" in t) for i, t in enumerate(texts))
+
+
+def test_a_text_of_very_many_matches_is_quick_and_right(spark):
+    import time
+
+    from blocklens.llm.pii import find_personal_data
+
+    n = 40_000
+    text = " ".join(f"10.0.{i % 256}.{i // 256}" for i in range(n)) + " 415-555-0199" * 3 + " x" * 100 + " u@v.org 2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    begun = time.time()
+    got = find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_ip"] == n and got["n_email"] == 1 and time.time() - begun < 60
+    assert got["base_sha256"] == hashlib.sha256(",".join(brute_spans(text)).encode()).hexdigest()
+
+
 def test_em_tells_reliable_labelers_from_noise():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
