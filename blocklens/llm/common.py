@@ -92,7 +92,7 @@ BITMAP_BITS = 20
 
 
 def id_bitmap(ids: DataFrame, column: str = "doc_id") -> bytes:
-    """A bitmap of fixed size of the ids modulo its bits, for marked().
+    """A bitmap of fixed size of the ids modulo its bits, for in_bitmap() and marked().
 
     It spares a shuffle of texts where few are wanted; a join with ids afterwards makes it exact.
     """
@@ -104,6 +104,12 @@ def id_bitmap(ids: DataFrame, column: str = "doc_id") -> bytes:
     return bytes(bits)
 
 
+def in_bitmap(ids: np.ndarray, bitmap: bytes) -> np.ndarray:
+    """True for all ids of the bitmap and few others, in a worker."""
+    place = ids & ((1 << BITMAP_BITS) - 1)
+    return np.frombuffer(bitmap, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+
+
 _KEPT: dict = {}
 
 
@@ -123,13 +129,18 @@ def release() -> None:
     """Give back the memory of the table of an earlier stage."""
     if _KEPT:
         _KEPT.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the pages
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give back freed memory to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the pages
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def marked(key: Column, bitmap: bytes) -> Column:
-    """True for all keys (longs) of an id bitmap and few others."""
+    """True for all keys (longs) of an id bitmap and few others. The bitmap becomes part of the plan: for rare use."""
     place = F.pmod(key, F.lit(1 << BITMAP_BITS))
     byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap)), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1

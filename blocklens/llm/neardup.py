@@ -22,8 +22,10 @@ rounds, over one and two fingerprints, each document of a variant pairs only wit
 a dense group of copies with few pairs. A shared variant does not prove a link, so the last round, over all
 fingerprints, pairs every two documents that share a variant and are not connected yet; the pairs of a dense group,
 connected by then, do not grow with its square. Those of a family of documents that are just below the threshold to
-each other do; nothing but the verification of each can tell which of them are copies. Components are those of the
-links of all rounds.
+each other do; nothing but the verification of each can tell which of them are copies. So documents that stood in a
+pair with one of many pairs in the first rounds bring their whole signature along in the last round, and their pairs
+are judged by it where they are found; only pairs that may be links leave the task. Components are those of the links
+of all rounds.
 
 The angle holds for large sets only, so documents of at most 32 shingles take no part in this. Their links, also those
 with larger documents, are found exactly: two sets of that similarity share one of the first shingles of both, in
@@ -42,18 +44,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import id_bitmap, marked, materialize, release, ship
+from blocklens.llm.common import id_bitmap, in_bitmap, materialize, release, ship
 from blocklens.llm.simhash import SEED, combos, components, in_rows, majorities, shared_variants, shingle_hashes
 
 #: Bits of a fingerprint that meet by ball hashing.
 BITS = 40
 RADIUS = 2
 RECALL = 0.95
-#: Standard errors around the threshold inside which pairs are settled exactly.
-UNCLEAR = 3.0
+#: Standard errors around the threshold inside which pairs are settled exactly: to the side of more and of fewer differing bits.
+UNCLEAR, SURE = 3.0, 4.5
 #: Distinct documents for each variant hash of a table.
 PER_GROUP = 8192
 #: Documents of a variant up to which its pairs are listed from the variant; above, by blocks of documents.
@@ -62,6 +65,8 @@ FEW = 8
 BLOCK, ACROSS = 512, 8192
 #: Shingles up to which a document's links are found by its set, not by fingerprints.
 SHORT = 32
+#: Compared pairs of a document from which it counts as the middle of a dense family.
+MANY = 64
 #: Pairs that a task holds before it passes them on.
 HELD = 1 << 20
 
@@ -117,15 +122,16 @@ def rounds(tables: int) -> list[tuple[range, bool]]:
     return [*((x, False) for x in stars), (range(tables), True)]
 
 
-def _emitted(batches, bits: int, chosen: range, parities: int):
-    """(doc_id, sig, root) -> a row for each chosen table and class of flips: h (table and variant hash), c, fp, doc_id, root."""
+def _emitted(batches, bits: int, chosen: range, parities: int, whole: bool = False):
+    """(doc_id, sig, root, dense) -> a row for each chosen table and class of flips: h (table and variant hash), c, fp,
+    doc_id, root and, if whole, the signature of dense documents."""
     classes = combos(bits, parities, RADIUS)
     changes = np.array([x for x, _ in classes], np.int64)
     masks = [np.uint64(sum(1 << p for p in range(j, bits, parities))) for j in range(parities)]
     low = np.uint64((1 << bits) - 1)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
+    for full in batches:
+        for at in range(0, full.num_rows, 500):
+            batch = full.slice(at, 500)
             fps = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u8").reshape(batch.num_rows, -1)[:, list(chosen)] & low
             own = np.zeros(fps.shape, np.int64)
             for j, mask in enumerate(masks):
@@ -134,10 +140,11 @@ def _emitted(batches, bits: int, chosen: range, parities: int):
             h = own[:, :, None] ^ changes[None, None, :]
             n = len(classes)
             ids, roots = (np.repeat(batch.column(x).to_numpy(), len(chosen) * n) for x in ("doc_id", "root"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.ravel().astype(np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int16), fps.size)), pa.array(np.repeat(fps.ravel(), n).view(np.int64)), pa.array(ids, pa.int64()), pa.array(roots, pa.int64())],
-                ["h", "c", "fp", "doc_id", "root"],
-            )
+            columns = [pa.array(h.ravel().astype(np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int16), fps.size)), pa.array(np.repeat(fps.ravel(), n).view(np.int64)), pa.array(ids, pa.int64()), pa.array(roots, pa.int64())]
+            if whole:
+                sig = pc.if_else(batch.column("dense"), batch.column("sig"), pa.scalar(None, pa.binary()))
+                columns.append(sig.take(pa.array(np.repeat(np.arange(batch.num_rows), len(chosen) * n))))
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "fp", "doc_id", "root", "sig"][: len(columns)])
 
 
 def _star_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, classes):
@@ -166,13 +173,38 @@ def _own_variant(x: np.ndarray, y: np.ndarray, fps: np.ndarray, ids: np.ndarray)
     return base
 
 
-def _all_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, classes):
-    """All pairs of documents of different roots whose own variant is of this variant hash; each pair once."""
+class Judge:
+    """Decides pairs of rows by their whole signatures, where both have one."""
+
+    def __init__(self, sigs: list[bytes | None], bits: int, table: int, most: float):
+        self.row = np.cumsum([x is not None for x in sigs]) - 1
+        self.row[[x is None for x in sigs]] = -1
+        known = b"".join(x for x in sigs if x is not None)
+        self.sigs = np.frombuffer(known, "<u8").reshape(int((self.row >= 0).sum()), -1)
+        self.low, self.table, self.most = np.uint64((1 << bits) - 1), table, most
+
+    def keeps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """False for pairs that differ in more bits than a link may, and for those that an earlier table finds as well."""
+        out = np.ones(len(x), bool)
+        a, b = self.row[x], self.row[y]
+        known = np.flatnonzero((a >= 0) & (b >= 0))
+        for i in range(0, len(known), 1 << 16):
+            at = known[i : i + (1 << 16)]
+            differing = self.sigs[a[at]] ^ self.sigs[b[at]]
+            met = np.bitwise_count(differing & self.low) <= 2 * RADIUS
+            out[at] = (np.bitwise_count(differing).sum(axis=1, dtype=np.int64) <= self.most) & (met.argmax(axis=1) == self.table)
+        return out
+
+
+def _all_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, classes, judge: Judge | None = None):
+    """All pairs of documents of different roots whose own variant is of this variant hash; each pair once, if judge keeps it."""
 
     def own(x, y, shared, chosen):
         v = _own_variant(x, y, fps, ids)
         place = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
         keep = (shared[place] == v) & chosen[place]
+        if judge:
+            keep[keep] = judge.keeps(x[keep], y[keep])
         a, b = ids[x[keep]], ids[y[keep]]
         return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
@@ -204,10 +236,10 @@ def _all_pairs(c: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarra
                 yield own(block[x], others[y], shared, large)
 
 
-def _pairs(batches, bits: int, parities: int, whole: bool):
+def _pairs(batches, bits: int, parities: int, whole: bool, most: float = math.inf):
     """Rows sorted by hash -> pairs; a pair that several hashes of a partition find counts once."""
     classes = combos(bits, parities, RADIUS)
-    key, parts, found = None, [], []
+    key, parts, sigs, found = None, [], [], []
 
     def passed_on():
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -216,7 +248,9 @@ def _pairs(batches, bits: int, parities: int, whole: bool):
 
     def done(last: bool):
         if parts:
-            for pairs in (_all_pairs if whole else _star_pairs)(*(np.concatenate(x) for x in zip(*parts, strict=True)), classes):
+            rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            judge = Judge(sigs, bits, int(key) >> parities, most) if any(x is not None for x in sigs) else None
+            for pairs in _all_pairs(*rows, classes, judge) if whole else _star_pairs(*rows, classes):
                 if len(pairs):
                     found.append(pairs)
                 if sum(map(len, found)) >= HELD:
@@ -232,8 +266,10 @@ def _pairs(batches, bits: int, parities: int, whole: bool):
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if key is not None and h[lo] != key:
                 yield from done(False)
-                parts = []
+                parts, sigs = [], []
             key = h[lo]
+            if "sig" in batch.schema.names:
+                sigs += batch.column("sig").slice(lo, hi - lo).to_pylist()
             parts.append((c[lo:hi], fp[lo:hi].view(np.uint64), ids[lo:hi], roots[lo:hi]))
     yield from done(True)
 
@@ -247,10 +283,11 @@ def _distances(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))], ["a", "b", "d"])
 
 
-def _shingle_sets(batches, words: int):
-    """doc_id and shingle set."""
+def _shingle_sets(batches, words: int, bitmap: bytes):
+    """doc_id and shingle set of the documents of the bitmap."""
     release()
-    for batch in batches:
+    for whole in batches:
+        batch = whole.filter(pa.array(in_bitmap(whole.column("doc_id").to_numpy(), bitmap)))
         sets = [shingle_set(t, words).tobytes() for t in batch.column("__text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
@@ -284,29 +321,39 @@ class ShingleSets:
         asked = asked.distinct()
         new = materialize(asked if self.known is None else asked.join(self.known.select("doc_id"), "doc_id", "left_anti"))
         if not new.isEmpty():
-            texts = self.docs.where(marked(F.col("doc_id"), id_bitmap(new))).join(new, "doc_id", "left_semi")
-            sets = texts.mapInArrow(partial(_shingle_sets, words=self.words), "doc_id long, shingles binary")
-            sets = materialize(sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+            sets = self.docs.mapInArrow(partial(_shingle_sets, words=self.words, bitmap=id_bitmap(new)), "doc_id long, shingles binary")
+            sets = materialize(sets.join(new, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
             self.known = sets if self.known is None else self.known.unionByName(sets)
         return self.known
 
 
-def near_links(sets: ShingleSets, heads: DataFrame, n: int, similarity: float, bits: int, tables: int, chosen: range, whole: bool) -> DataFrame:
-    """a, b: verified links between heads (doc_id, sig, root) of different roots that the chosen tables find.
+def near_links(sets: ShingleSets, heads: DataFrame, n: int, similarity: float, bits: int, tables: int, chosen: range, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """a, b: verified links between heads (doc_id, sig, root, dense) of different roots that the chosen tables find, and
+    a, b, d: all pairs that were compared, with their differing bits.
 
     whole: of all pairs that share a variant, else of a star for each variant.
     """
     parities = min(26, max(4, math.ceil(math.log2(max(1, n) / PER_GROUP))))
-    rows = heads.mapInArrow(partial(_emitted, bits=bits, chosen=chosen, parities=parities), "h int, c short, fp long, doc_id long, root long")
-    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_pairs, bits=bits, parities=parities, whole=whole), "a long, b long").distinct()
     p, size = differing_share(similarity), 64 * tables
-    error = UNCLEAR * math.sqrt(size * p * (1 - p))
-    judged = materialize(_with_both(pairs, heads, "sig").mapInArrow(_distances, "a long, b long, d long").where(F.col("d") <= size * p + error))
-    clear, unclear = judged.where(F.col("d") < size * p - error).select("a", "b"), judged.where(F.col("d") >= size * p - error).select("a", "b")
+    error = math.sqrt(size * p * (1 - p))
+    most, least = size * p + UNCLEAR * error, size * p - SURE * error
+    schema = "h int, c short, fp long, doc_id long, root long" + ", sig binary" * whole
+    rows = heads.mapInArrow(partial(_emitted, bits=bits, chosen=chosen, parities=parities, whole=whole), schema)
+    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_pairs, bits=bits, parities=parities, whole=whole, most=most), "a long, b long").distinct()
+    judged = materialize(_with_both(pairs, heads, "sig").mapInArrow(_distances, "a long, b long, d long"))
+    clear = judged.where(F.col("d") < least).select("a", "b")
+    unclear = judged.where(F.col("d").between(least, most)).select("a", "b")
     if unclear.isEmpty():
-        return clear
+        return clear, judged
     asked = unclear.select(F.col("a").alias("doc_id")).unionByName(unclear.select(F.col("b").alias("doc_id")))
-    return clear.unionByName(_with_both(unclear, sets.of(asked), "shingles").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
+    return clear.unionByName(_with_both(unclear, sets.of(asked), "shingles").mapInArrow(partial(_similar, similarity=similarity), "a long, b long")), judged
+
+
+def crowded(judged: DataFrame, many: int = MANY) -> DataFrame:
+    """doc_id of the documents that stand in a compared pair with one that has more than `many`."""
+    ends = judged.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(judged.select(F.col("b").alias("doc_id"), F.col("a").alias("other")))
+    hubs = ends.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > many).select(F.col("doc_id").alias("other"))
+    return ends.join(hubs, "other", "left_semi").select("doc_id").unionByName(hubs.select(F.col("other").alias("doc_id"))).distinct()
 
 
 def _short_links(batches, similarity: float):
@@ -373,7 +420,7 @@ def short_links(heads: DataFrame, similarity: float) -> DataFrame:
 def _rooted(heads: DataFrame, links: DataFrame) -> DataFrame:
     """heads with the smallest document that the links connect them with as root."""
     roots = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("__root"))
-    return heads.join(roots, "doc_id", "left").select("doc_id", "sig", "few", F.coalesce("__root", "root").alias("root"))
+    return heads.join(roots, "doc_id", "left").select("doc_id", "sig", "few", F.coalesce("__root", "root").alias("root"), "dense")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL, bits: int = BITS) -> DataFrame:
@@ -386,7 +433,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     marks = materialize(texts.mapInArrow(partial(_signatures, words=words, tables=tables, longest=longest), "doc_id long, sig binary, few array<long>"))
     # equal signatures are copies; an id with several texts counts with the smallest signature
     first = marks.groupBy("sig").agg(F.min(F.struct("doc_id", "few")).alias("x")).groupBy("x.doc_id").agg(F.min(F.struct("sig", "x.few")).alias("y"))
-    heads = materialize(first.select("doc_id", "y.sig", "y.few", F.col("doc_id").alias("root")))
+    heads = materialize(first.select("doc_id", "y.sig", "y.few", F.col("doc_id").alias("root"), F.lit(False).alias("dense")))
     n, links = heads.count(), None
     found = materialize(short_links(heads, similarity))
     if not found.isEmpty():
@@ -394,11 +441,15 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
         heads = materialize(_rooted(heads, links))
     sets = ShingleSets(texts, words)
     for chosen, whole in rounds(tables):
-        long = heads.where(F.col("few").isNull() | (F.size("few") > SHORT)).select("doc_id", "sig", "root")
-        found = materialize(near_links(sets, long, n, similarity, bits, tables, chosen, whole))
+        long = heads.where(F.col("few").isNull() | (F.size("few") > SHORT)).select("doc_id", "sig", "root", "dense")
+        found, judged = near_links(sets, long, n, similarity, bits, tables, chosen, whole)
+        found = materialize(found)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             heads = materialize(_rooted(heads, links))
+        if not whole:
+            marked = crowded(judged).withColumn("crowded", F.lit(True))
+            heads = materialize(heads.join(marked, "doc_id", "left").withColumn("dense", F.col("dense") | F.coalesce("crowded", F.lit(False))).drop("crowded"))
     keep = heads.where("doc_id = root").select("doc_id")
     kept = named.join(keep.hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # the same plan at every size
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from blocklens.llm.common import free_name, held_out, kept, materialize, ship
+from blocklens.llm.common import free_name, held_out, kept, materialize, ship, trim
 
 WINDOW, STRIDE = 16, 8
 WORD_BITS, GRAM_BITS, STEM_BITS = 17, 12, 16
@@ -396,14 +396,17 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int
             left[r["__toxic"]] -= r["n"] or 0
             taken.append((r["doc_id"], r["__toxic"]))
     wanted = docs.sparkSession.createDataFrame(taken, rows.select("doc_id", "__toxic").schema)
-    return rows.join(F.broadcast(wanted), ["doc_id", "__toxic"]).select("doc_id", "text", "__toxic").collect()
+    return rows.join(F.broadcast(wanted), ["doc_id", "__toxic"]).select("doc_id", "text", "__toxic").toArrow().to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = PER_CLASS, class_chars: int = CLASS_CHARS) -> Network | None:
     """A network from the labelled rows that are not held out, within the bounds of sample()."""
     rows = sample(docs, labels, modulus, remainder, per_class, class_chars)
     rows.sort(key=lambda r: (r["doc_id"], r["__toxic"]))
-    return train([r["text"] for r in rows], [r["__toxic"] for r in rows])
+    net = train([r["text"] for r in rows], [r["__toxic"] for r in rows])
+    del rows
+    trim()  # the driver goes on with other stages
+    return net
 
 
 def with_scores(docs: DataFrame, net: Network | None, name: str) -> DataFrame:

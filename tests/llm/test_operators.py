@@ -297,7 +297,8 @@ def test_all_pairs_of_a_dense_family_are_judged_once():
     fps = np.array([int(b) ^ sum(1 << int(p) for p in rng.choice(bits, k, replace=False)) for b in base for k in (0, 0, 1, 2, 2, 3, 3, 4) for _ in range(12)], np.uint64)
     ids = rng.permutation(len(fps)).astype(np.int64)
     roots = np.where(ids % 4 == 0, ids % 8, 1000 + ids)
-    table = [pa.record_batch({"doc_id": ids, "sig": [f.tobytes() for f in fps], "root": roots})]
+    sigs = [f.tobytes() for f in fps]
+    table = [pa.record_batch({"doc_id": ids, "sig": sigs, "root": roots, "dense": ids % 3 > 0})]
     rows = pd.concat(b.to_pandas() for b in neardup._emitted(table, bits, range(1), parities)).sort_values("h")
     got = []
     for _, g in rows.groupby("h"):
@@ -308,6 +309,65 @@ def test_all_pairs_of_a_dense_family_are_judged_once():
     shuffled = [pa.RecordBatch.from_pandas(rows, preserve_index=False)]
     passed = [p for b in neardup._pairs(shuffled, bits, parities, True) for p in zip(*(x.to_pylist() for x in b.columns), strict=True)]
     assert set(passed) == want
+    # with whole signatures of some: their pairs are judged on the spot, the others pass
+    rows = pd.concat(b.to_pandas() for b in neardup._emitted(table, bits, range(1), parities, True)).sort_values("h")
+    shuffled = [pa.RecordBatch.from_pandas(rows, preserve_index=False)]
+    passed = [p for b in neardup._pairs(shuffled, bits, parities, True, 2) for p in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+    at = dict(zip(ids.tolist(), fps.tolist(), strict=True))
+    assert set(passed) == {(a, b) for a, b in want if not (a % 3 and b % 3) or (at[a] ^ at[b]).bit_count() <= 2}
+
+
+def test_templates_leave_one_document_of_each_component(spark):
+    rng = random.Random(40)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for g in range(12):
+        base = [word() for _ in range(150)]
+        for k in range(48):  # edits at random places: similarities around the threshold
+            text = list(base)
+            for place in rng.sample(range(150), rng.randint(1, 7)):
+                text[place] = word()
+            rows.append((g * 100 + k, " ".join(text)))
+    sets = {i: neardup.shingle_set(t, 5) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near, links = 0, []
+    for i in sets:
+        for j in sets:
+            if i < j and i // 100 == j // 100:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                similarity = both / (len(sets[i]) + len(sets[j]) - both)
+                if similarity >= 0.8:
+                    near += similarity < 0.85
+                    links.append((i, j))
+                    a, b = root(i), root(j)
+                    parent[max(a, b)] = min(a, b)
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {root(i) for i in sets}
+    assert near > 100 and len(want) < 0.9 * len(rows)
+    assert want <= kept and len(kept) <= 1.02 * len(want), (len(want), len(kept), len(rows))
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, pairs = [], 0
+    while pairs < 300:
+        text = [word() for _ in range(204)]
+        other = [word() if i in {17, 58, 99, 140} else w for i, w in enumerate(text)]
+        a, b = (neardup.shingle_set(" ".join(x), 5) for x in (text, other))
+        both = len(np.intersect1d(a, b))
+        assert 0.80 <= both / (len(a) + len(b) - both) <= 0.85
+        rows += [(10 * pairs, " ".join(text)), (10 * pairs + 1, " ".join(other))]
+        pairs += 1
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(10 * i + 1 not in kept for i in range(pairs))
+    assert found >= 0.9 * pairs, found
 
 
 def test_short_near_copies_are_settled_exactly(spark):
