@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from blocklens.plans.errors import Refused, invalid_params
 from blocklens.registry import query
+from blocklens.sources.chainview import numbered_logs
 
 MAX_RANGE, MAX_BLOCKS, MAX_LOGS = 10_000, 1_000, 10_000
 #: Blocks of an index partition.
@@ -41,10 +42,29 @@ class LogFilter:
 
 
 def scan(logs: DataFrame, f: LogFilter) -> DataFrame:
-    """All logs of the filter; predicates reach the scan."""
+    """All logs of the filter out of numbered logs."""
     return logs.where(f.condition())
 
 
+def near_logs(v, f: LogFilter, blocks: DataFrame | None = None) -> DataFrame:
+    """Numbered logs of the blocks of the filter's range that have a matching log (or are among `blocks`), and of no others.
+
+    The range is one of keys and the conditions are on columns of the table, so both reach the scan; numbering, which
+    needs all logs of a block, shuffles the blocks with a match alone.
+    """
+    near = v.between(f.first, f.last)
+    if blocks is None:
+        if not f.groups():
+            return near.logs
+        blocks = near.raw_logs.where(f.condition()).select("block").distinct()
+    return numbered_logs(near.raw_logs.join(blocks, "block", "left_semi"))
+
+
+def pruned_scan(v, f: LogFilter) -> DataFrame:
+    """All logs of the filter, by way of the blocks that match."""
+    return scan(near_logs(v, f), f)
+
+
 def index_entries(raw_logs: DataFrame, fields=("address", "topic0", "topic1", "topic2")) -> DataFrame:
     """Distinct (partition, tag, key, block) of every indexed value; keys are prefixes of a digest of tag and value."""
     tagged = F.explode(F.array(*[F.struct(F.lit(c).alias("tag"), F.col(c).cast("string").alias("value")) for c in fields]))
@@ -67,10 +87,9 @@ def candidates(index: DataFrame, f: LogFilter) -> DataFrame | None:
     return found
 
 
-def indexed_scan(logs: DataFrame, index: DataFrame, f: LogFilter) -> DataFrame:
-    """The same rows as scan, by way of the index."""
-    blocks = candidates(index, f)
-    return scan(logs if blocks is None else logs.join(blocks, "block", "left_semi"), f)
+def indexed_scan(v, index: DataFrame, f: LogFilter) -> DataFrame:
+    """The same rows as pruned_scan, by way of the index: only the blocks that it names are read."""
+    return scan(near_logs(v, f, candidates(index, f)), f)
 
 
 def fitting_last(counts: DataFrame, first: int, limit: int) -> int | None:
@@ -81,21 +100,21 @@ def fitting_last(counts: DataFrame, first: int, limit: int) -> int | None:
 
 
 def checked(logs: DataFrame, f: LogFilter, max_logs: int = MAX_LOGS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """scan, refused (never cut) beyond the limits; the refusal names the range that fits."""
+    """scan, refused (never cut) beyond the limits; the refusal names the range that fits.
+
+    One sorted scan of at most max_logs + 1 rows tells whether the limits hold; only a refusal counts blocks.
+    """
     if f.last - f.first + 1 > MAX_RANGE:
         raise Refused(f"a query spans at most {MAX_RANGE} blocks", f.first, f.first + MAX_RANGE - 1)
     found = scan(logs, f)
-    counts = found.groupBy("block").agg(F.count("*").alias("n")).cache()  # a row for each block of the range
-    try:
-        blocks, rows = counts.agg(F.count("*"), F.sum("n")).first()
-        if blocks > max_blocks:
-            last = fitting_last(counts.select("block", F.lit(1).alias("n")), f.first, max_blocks)
-            raise Refused(f"the query reads more than {max_blocks} blocks", f.first, last)
-        if (rows or 0) > max_logs:
-            raise Refused(f"the answer holds more than {max_logs} logs", f.first, fitting_last(counts, f.first, max_logs))
-    finally:
-        counts.unpersist()
-    return found
+    head = found.orderBy("block", "tx_index", "log_index").limit(max_logs + 1).agg(F.count("*"), F.countDistinct("block")).first()
+    if head[0] <= max_logs and head[1] <= max_blocks:
+        return found
+    counts = found.groupBy("block").agg(F.count("*").alias("n"))  # a row for each block of the range
+    blocks = counts.count()
+    if blocks > max_blocks:
+        raise Refused(f"the query reads more than {max_blocks} blocks", f.first, fitting_last(counts.select("block", F.lit(1).alias("n")), f.first, max_blocks))
+    raise Refused(f"the answer holds more than {max_logs} logs", f.first, fitting_last(counts, f.first, max_logs))
 
 
 def bloom_bits(tag_value: Column) -> Column:
@@ -105,12 +124,17 @@ def bloom_bits(tag_value: Column) -> Column:
 
 
 def block_blooms(raw_logs: DataFrame, fields=("address", "topic0", "topic1", "topic2")) -> DataFrame:
-    """block, lanes: 32 lanes of 64 bits, the OR of the bits of all indexed values; one combinable aggregation."""
+    """block, lanes: the OR of the bits of all indexed values."""
     value = F.explode(F.array(*[F.concat_ws(":", F.lit(c), F.col(c).cast("string")) for c in fields]))
-    bits = raw_logs.select("block", value.alias("x")).distinct().select("block", F.explode(bloom_bits(F.col("x"))).alias("bit"))
+    return blooms(raw_logs.select("block", value.alias("x")), "block")
+
+
+def blooms(values: DataFrame, key: str) -> DataFrame:
+    """key, lanes: 32 lanes of 64 bits, the OR of the bits of all values x of a key; one combinable aggregation."""
+    bits = values.select(key, "x").distinct().select(key, F.explode(bloom_bits(F.col("x"))).alias("bit"))
     lane = F.floor(F.col("bit") / 64)
     word = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
-    return bits.groupBy("block").agg(*[F.coalesce(F.bit_or(F.when(lane == i, word)), F.lit(0).cast("long")).alias(f"lane{i}") for i in range(32)])
+    return bits.groupBy(key).agg(*[F.coalesce(F.bit_or(F.when(lane == i, word)), F.lit(0).cast("long")).alias(f"lane{i}") for i in range(32)])
 
 
 def admitted(blooms: DataFrame, f: LogFilter) -> DataFrame:
@@ -142,27 +166,28 @@ def chain_logs(v):
 
 @query("FL01 FL03 SO03", f"SELECT {_COLUMNS} FROM logs WHERE block BETWEEN 10 AND 60 AND address IN (7, 11)", "logs")
 def logs_by_address(v):
-    return scan(v.logs, BY_ADDRESS).orderBy("block", "tx_index", "log_index")
+    return pruned_scan(v, BY_ADDRESS).orderBy("block", "tx_index", "log_index")
 
 
 @query("FL01", f"SELECT {_COLUMNS} FROM logs WHERE block BETWEEN 0 AND 40 AND topic0 = 'R'", "logs")
 def logs_by_topic0(v):
-    return scan(v.logs, BY_TOPIC)
+    return pruned_scan(v, BY_TOPIC)
 
 
 @query("FL01 FL02", f"SELECT {_COLUMNS} FROM logs WHERE block BETWEEN 0 AND 100 AND address IN (3, 4, 5, 6) AND topic0 IN ('A', 'N') AND topic2 IN (1, 2, 3)", "logs")
 def logs_by_address_and_topics(v):
-    return scan(v.logs, BY_BOTH)
+    return pruned_scan(v, BY_BOTH)
 
 
 @query("AG21 ST01 ST02 FL01 FL09", f"SELECT {_COLUMNS} FROM logs WHERE block BETWEEN 0 AND 100 AND address IN (3, 4, 5, 6) AND topic0 IN ('A', 'N') AND topic2 IN (1, 2, 3)", "logs")
 def logs_via_index(v):
-    return indexed_scan(v.logs, index_entries(v.raw_logs), BY_BOTH)
+    return indexed_scan(v, index_entries(v.between(BY_BOTH.first, BY_BOTH.last).raw_logs), BY_BOTH)
 
 
 @query("FL04 PR11", f"SELECT {_COLUMNS} FROM logs WHERE block BETWEEN 0 AND 100 AND address IN (3, 4, 5, 6) AND topic0 IN ('A', 'N') AND topic2 IN (1, 2, 3)", "logs")
 def logs_via_bloom(v):
-    return scan(v.logs.join(admitted(block_blooms(v.raw_logs), BY_BOTH).select("block"), "block", "left_semi"), BY_BOTH)
+    blooms = block_blooms(v.between(BY_BOTH.first, BY_BOTH.last).raw_logs)
+    return scan(near_logs(v, BY_BOTH, admitted(blooms, BY_BOTH).select("block")), BY_BOTH)
 
 
 @query(

@@ -24,7 +24,7 @@ def chain_blocks(v):
 
 @query("SC03 JN07", "SELECT number, hash, gas_used, base_fee FROM blocks WHERE number = 7", "blocks")
 def block_by_number(v):
-    return v.blocks.where("number = 7").select("number", "hash", "gas_used", "base_fee")
+    return v.between(7, 7).blocks.select("number", "hash", "gas_used", "base_fee")
 
 
 @query("PR03 PR04 PR05 PR06", f"SELECT t.block, tx_index, t.hash, type, sender, recipient, {EFFECTIVE_SQL} AS effective_gas_price, CASE WHEN type = 0 AND price % 80 >= 35 THEN (price % 80 - 35) // 2 END AS chain_id, CASE WHEN type = 3 THEN price % 6 + 1 ELSE 0 END AS blob_count FROM transactions t JOIN blocks b ON t.block = b.number", "blocks")
@@ -48,7 +48,7 @@ def tx_by_hash(v):
 
 @query("JN07", "SELECT block, tx_index, hash FROM transactions WHERE block = 3 AND tx_index = 42", "transactions")
 def tx_by_block_and_index(v):
-    return v.transactions.where("block = 3 and tx_index = 42").select("block", "tx_index", "hash")
+    return v.between(3, 3).transactions.where("tx_index = 42").select("block", "tx_index", "hash")
 
 
 @query(

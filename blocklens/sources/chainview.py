@@ -19,6 +19,8 @@ SLOT = 12
 BROKEN_EVERY = 97
 FIRST_BLOB_BLOCK = 20
 BLOB_GAS = 131_072
+#: Tables that are laid out by block, and their keys.
+BLOCK_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
 
 
 def epoch_seconds(ts: str) -> Column:
@@ -33,11 +35,19 @@ def cents(x: str) -> Column:
 class Views:
     """Lazy frames of one data set; every property is a plan, nothing is read before an action."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, span: tuple[int, int] | None = None):
+        self.spark, self.sf_dir, self.span = spark, sf_dir, span
+
+    def between(self, first: int, last: int) -> Views:
+        """The same views of the blocks first..last alone. The range is one of keys, which scans can prune by."""
+        return Views(self.spark, self.sf_dir, (first, last))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if self.span and name in BLOCK_KEYS:
+            first, last = self.span
+            df = df.where(F.col(BLOCK_KEYS[name]).between(first * BLOCK_TXS, last * BLOCK_TXS + BLOCK_TXS - 1))
+        return df
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -116,8 +126,16 @@ class Views:
     @cached_property
     def logs(self) -> DataFrame:
         """block, tx_index, log_index (running over the block), address, topics, data."""
-        order = Window.partitionBy("block").orderBy("tx_index", "line", "address", "topic1", "data", "tax", "discount", "shipped", "topic0")
-        return self.raw_logs.withColumn("log_index", (F.row_number().over(order) - 1).cast("int")).select("block", "tx_index", "log_index", "address", "topic0", "topic1", "topic2", "data")
+        return numbered_logs(self.raw_logs)
+
+    @cached_property
+    def frames(self) -> DataFrame:
+        """number, body, size, digest: stored frames of transaction hashes; a few are cut or altered after they were signed."""
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("tx_index", "hash"))), lambda x: x["hash"])
+        whole = self.transactions.groupBy(F.col("block").alias("number")).agg(F.array_join(ordered, "").alias("sent"))
+        n = F.col("number")
+        body = F.when(n % 53 == 7, F.expr("left(sent, length(sent) - 1)")).when(n % 41 == 3, F.concat(F.lit("!"), F.expr("substring(sent, 2)"))).otherwise(F.col("sent"))
+        return whole.select("number", body.alias("body"), F.length("sent").cast("long").alias("size"), F.sha2("sent", 256).alias("digest"))
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -155,14 +173,15 @@ class Views:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        """address, plan, net, period_units, created_day, suspended."""
+        """address, plan, net, period_units, period_end (ms), created_day, suspended, wallet_check."""
         key = F.col("c_custkey")
-        plan = F.element_at(F.array(*[F.lit(x) for x in ("free", "unverified", "builder", "growth", "scale")]), (key % 5 + 1).cast("int"))
+        plan = F.when(key % 23 == 0, F.lit("internal")).otherwise(F.element_at(F.array(*[F.lit(x) for x in ("free", "unverified", "builder", "growth", "scale")]), (key % 5 + 1).cast("int")))
         return self.table("customer").select(
             key.alias("address"),
             plan.alias("plan"),
             F.when(key % 11 != 0, F.col("c_nationkey").cast("long")).alias("net"),
             (F.greatest(cents("c_acctbal"), F.lit(0)) * 40).alias("period_units"),
+            (F.lit(1_700_000_000_000) + key % 60 * 86_400_000).cast("long").alias("period_end"),
             (F.lit(20240101) + key % 28).cast("long").alias("created_day"),
             (key % 17 == 0).alias("suspended"),
             F.when(key % 3 != 0, F.col("c_mktsegment")).alias("wallet_check"),
@@ -185,6 +204,12 @@ class Views:
         return self.table("orders").select(key.alias("id"), F.col("o_custkey").alias("address"), status.alias("status"), cents("o_totalprice").alias("usd_cents"), months.cast("long").alias("months"), (epoch_seconds("o_orderdate") * 1000).alias("created_at"))
 
 
+def numbered_logs(raw_logs: DataFrame) -> DataFrame:
+    """raw_logs of whole blocks with the running number of each log in its block."""
+    order = Window.partitionBy("block").orderBy("tx_index", "line", "address", "topic1", "data", "tax", "discount", "shipped", "topic0")
+    return raw_logs.withColumn("log_index", (F.row_number().over(order) - 1).cast("int")).select("block", "tx_index", "log_index", "address", "topic0", "topic1", "topic2", "data")
+
+
 #: name -> (views it reads, SQL)
 VIEW_SQL = {
     "transactions": (
@@ -216,6 +241,11 @@ FROM (SELECT block AS number, max(cumulative_gas) AS gas_used FROM receipts GROU
         "raw_logs",
         """SELECT block, tx_index, CAST(row_number() OVER (PARTITION BY block ORDER BY tx_index, line, address, topic1, data, tax, discount, shipped, topic0) - 1 AS INTEGER) AS log_index,
   address, topic0, topic1, topic2, data FROM raw_logs""",
+    ),
+    "frames": (
+        "transactions",
+        """SELECT number, CASE WHEN number % 53 = 7 THEN left(sent, length(sent) - 1) WHEN number % 41 = 3 THEN '!' || substr(sent, 2) ELSE sent END AS body, length(sent) AS size, sha256(sent) AS digest
+FROM (SELECT block AS number, string_agg(hash, '' ORDER BY tx_index) AS sent FROM transactions GROUP BY block)""",
     ),
     "changes": (
         "",
@@ -230,8 +260,8 @@ FROM (SELECT block AS number, max(cumulative_gas) AS gas_used FROM receipts GROU
     ),
     "accounts": (
         "",
-        """SELECT c_custkey AS address, CASE c_custkey % 5 WHEN 0 THEN 'free' WHEN 1 THEN 'unverified' WHEN 2 THEN 'builder' WHEN 3 THEN 'growth' ELSE 'scale' END AS plan,
-  CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS net, greatest(CAST(round(c_acctbal * 100) AS BIGINT), 0) * 40 AS period_units, CAST(20240101 + c_custkey % 28 AS BIGINT) AS created_day,
+        """SELECT c_custkey AS address, CASE WHEN c_custkey % 23 = 0 THEN 'internal' ELSE CASE c_custkey % 5 WHEN 0 THEN 'free' WHEN 1 THEN 'unverified' WHEN 2 THEN 'builder' WHEN 3 THEN 'growth' ELSE 'scale' END END AS plan,
+  CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS net, greatest(CAST(round(c_acctbal * 100) AS BIGINT), 0) * 40 AS period_units, CAST(1700000000000 + c_custkey % 60 * 86400000 AS BIGINT) AS period_end, CAST(20240101 + c_custkey % 28 AS BIGINT) AS created_day,
   c_custkey % 17 = 0 AS suspended, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS wallet_check FROM customer""",
     ),
     "api_keys": ("", """SELECT c_custkey * 10 + i AS id, c_custkey AS address, (c_custkey + i) % 7 = 0 AS revoked FROM (SELECT c_custkey, unnest(range(0, c_custkey % 3 + 1)) AS i FROM customer)"""),

@@ -75,21 +75,18 @@ def test_fake_exponential_matches_integers(spark):
     assert all(r["x"] == fees.fake_exponential_int(r["n"], r["d"]) for r in rows)
 
 
-def test_oracle_rule_reads_fifty_blocks_when_every_block_yields_one():
-    class Counting(dict):
-        asked = 0
-
-        def get(self, n, default=None):
-            Counting.asked += 1
-            return self[n] if n in self else default
-
-    one = Counting({n: [5] for n in range(1000)})
-    fees.suggested_tip(one, 999, 1)
-    assert Counting.asked == 50
-    Counting.asked = 0
-    assert fees.suggested_tip(Counting({n: [n, n + 1, n + 2] for n in range(1000)}), 999, 1) == 992  # the 36th of 60 values
-    assert Counting.asked == 20
-    assert fees.suggested_tip({}, 30, 1) == fees.DEFAULT_PRICE
+def test_oracle_rule_by_hand(spark):
+    cases = {50: [1] * 50, 20: [3] * 50, 7: [1] * 7, 0: [], 21: [1] + [3] * 49, 22: [3] * 12 + [1] * 38}
+    rows = spark.createDataFrame(list(cases.items()), "want int, sizes array<int>").select("want", fees.blocks_read(F.col("sizes")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [r["want"] for r in rows]
+    values = [[[n, n + 1, n + 2] for n in range(999, 949, -1)], [], [[]] * 30, [[10**15] * 3] * 50]
+    tips = [r[0] for r in spark.createDataFrame([(x,) for x in values], "v array<array<long>>").select(fees.suggested_tip(F.col("v"))).collect()]
+    assert tips == [992, fees.DEFAULT_PRICE, fees.DEFAULT_PRICE, fees.MAX_PRICE]  # 992: the 36th of 60 values
+
+
+def test_a_series_that_is_too_long_is_refused(spark):
+    with pytest.raises(Exception, match="terms|OVERFLOW|overflow|NUMERIC_VALUE_OUT_OF_RANGE"):
+        spark.createDataFrame([(10**9, 3_338_477)], "n long, d long").select(fees.fake_exponential(F.col("n"), F.col("d"))).collect()
 
 
 def test_percentile_checks():

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from blocklens.queries import QUERIES
@@ -16,8 +18,17 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def pushed(spark, name):
+    """The pushed filters of every scan of a query."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"PushedFilters: \[(.*?)\], ReadSchema: struct<(.*?)>", plan)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = QUERIES["block_by_number"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema" in plan
-    logs = QUERIES["logs_by_topic0"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in logs and "l_returnflag" in logs
+    scans = pushed(spark, "block_by_number")
+    assert len(scans) == 2 and all("GreaterThanOrEqual" in f and "700" in f and "799" in f for f, _ in scans)
+    by_address = pushed(spark, "logs_by_address")
+    assert all("GreaterThanOrEqual(l_orderkey,1000)" in f and "LessThanOrEqual(l_orderkey,6099)" in f for f, _ in by_address)
+    assert any("In(l_suppkey, [" in f and columns.count(":") <= 2 for f, columns in by_address)
+    assert any("EqualTo(l_returnflag,R)" in f for f, _ in pushed(spark, "logs_by_topic0"))

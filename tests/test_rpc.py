@@ -35,6 +35,11 @@ def test_logs(node, views):
     want = [r.asDict() for r in views.logs.collect() if 2 <= r["block"] <= 6 and r["address"] in (3, 4) and r["topic0"] in ("A", "R")]
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and want
     assert node.call("eth_getLogs", [{"fromBlock": "0x6", "toBlock": "0x2"}]) == []
+    assert node.call("eth_getLogs", [f | {"address": ["0x" + "3".rjust(40, "0"), 4]}]) == got
+    for bad in ({"address": "0x12"}, {"address": ["0x" + "z" * 40]}, {"topics": ["0x41"]}, {"topics": [None, "text"]}, {"address": 1.5}):
+        with pytest.raises(QueryError) as e:
+            node.call("eth_getLogs", [bad])
+        assert e.value.code == -32602
     for bad in ({"topics": [None] * 5}, {"topics": "A"}, {"blockHash": "0x00", "fromBlock": "0x1"}):
         with pytest.raises(QueryError):
             node.call("eth_getLogs", [bad])
@@ -60,6 +65,19 @@ def test_state_and_fees(node, views):
     assert int(node.call("eth_gasPrice", []), 16) > 0
 
 
+def test_by_hash_uncles_and_state(node, views):
+    block = node.call("eth_getBlockByNumber", ["0x5", False])
+    assert node.call("eth_getBlockTransactionCountByHash", [block["hash"]]) == node.call("eth_getBlockTransactionCountByNumber", ["0x5"]) == "0x64"
+    assert node.call("eth_getTransactionByBlockHashAndIndex", [block["hash"], "0x7"]) == node.call("eth_getTransactionByBlockNumberAndIndex", ["0x5", "0x7"])
+    assert node.call("eth_getUncleCountByBlockNumber", ["0x5"]) == "0x1" and node.call("eth_getUncleCountByBlockNumber", ["0x6"]) == "0x0"
+    assert node.call("eth_getUncleByBlockHashAndIndex", [block["hash"], "0x2"])["transactions"] is None and node.call("eth_getUncleByBlockNumberAndIndex", ["0x5", "0x0"]) is None
+    assert node.call("eth_getBlockTransactionCountByHash", ["0x" + "0" * 64]) is None
+    key = views.state.where("value is not null").first()["key"]
+    assert int(node.call("eth_getStorageAt", [key, "0x0", "latest"]), 16) == int(node.call("eth_getBalance", [key, "latest"]), 16)
+    assert node.call("eth_getStorageAt", [key, "0x1", "latest"]) == "0x" + "0" * 64
+    assert int(node.call("eth_getTransactionCount", [key, "latest"]), 16) > 0 and node.call("eth_getCode", [4, "latest"]) == "0x34"
+
+
 def test_batch(node):
     out = node.batch([{"id": 1, "method": "eth_chainId"}, {"id": 2, "method": "nope"}, {"id": 3}])
     assert out[0]["result"] == "0x1" and out[1]["error"]["code"] == -32601 and out[2]["error"]["code"] == -32600
