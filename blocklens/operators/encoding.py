@@ -80,12 +80,46 @@ def call_frames(v):
     return frames.join(children, ["block", "tx_index", "i"], "left").select("block", "tx_index", "i", "data", F.floor(F.log2(F.col("i") + 1)).cast("int").alias("depth"), F.coalesce("n", F.lit(0)).alias("subtraces"))
 
 
-@query("WN15", "WITH c AS (SELECT sec // 60 AS s, account % 5 AS isolate, count(*) AS calls FROM usage GROUP BY ALL), a AS (SELECT s + 1 AS s, count(*) AS active FROM c GROUP BY s) SELECT c.s, c.isolate, c.calls, least(c.calls, 4 // coalesce(a.active, 1)) AS admitted FROM c LEFT JOIN a ON c.s = a.s", "usage")
+#: Requests a second of a scope.
+RATE = 4
+
+
+def granted(wants, active, rate: int = RATE):
+    """What each call of a second gets, in order: at most what it wants and what is left, and of these no more than a
+    fair share among the isolates active in the second before, or half of what is left, whichever is larger."""
+    state = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<long>").alias("out"))
+
+    def step(s, want):
+        left = F.greatest(F.lit(rate) - s["spent"], F.lit(0))
+        share = F.greatest(F.ceil(F.lit(rate) / active), F.floor(left / 2))
+        got = F.greatest(F.least(want, left, share), F.lit(0)).cast("long")
+        return F.struct((s["spent"] + got).alias("spent"), F.concat(s["out"], F.array(got)).alias("out"))
+
+    return F.aggregate(wants, state, step, lambda s: s["out"])
+
+
+# the view's clock: a minute of the events is a second; scope: kind of event, isolate: account % 5, a call wants k % 4 + 1
+@query(
+    "WN15",
+    f"""WITH RECURSIVE c AS (SELECT method AS scope, sec // 60 AS s, id, account % 5 AS isolate, k % 4 + 1 AS want, row_number() OVER (PARTITION BY method, sec // 60 ORDER BY id) AS i FROM usage),
+act AS (SELECT scope, s + 1 AS s, count(DISTINCT isolate) AS active FROM c GROUP BY ALL),
+x AS (SELECT c.*, coalesce(active, 1) AS active FROM c LEFT JOIN act ON act.scope = c.scope AND act.s = c.s),
+g(scope, s, i, id, tokens, spent) AS (
+  SELECT scope, s, i, id, t, t FROM (SELECT x.*, CAST(greatest(0, least(want, {RATE}, greatest(ceil({RATE} / CAST(active AS DOUBLE)), {RATE} // 2))) AS BIGINT) AS t FROM x WHERE i = 1)
+  UNION ALL
+  SELECT scope, s, i, id, t, spent + t FROM (
+    SELECT x.scope, x.s, x.i, x.id, g.spent, CAST(greatest(0, least(want, {RATE} - g.spent, greatest(ceil({RATE} / CAST(active AS DOUBLE)), ({RATE} - g.spent) // 2))) AS BIGINT) AS t
+    FROM g JOIN x ON x.scope = g.scope AND x.s = g.s AND x.i = g.i + 1))
+SELECT scope, s, id, tokens FROM g""",
+    "usage",
+)
 def shared_budget(v):
-    calls = v.usage.groupBy(F.floor(F.col("sec") / 60).alias("s"), (F.col("account") % 5).alias("isolate")).agg(F.count("*").alias("calls"))
-    active = calls.groupBy((F.col("s") + 1).alias("s")).agg(F.count("*").alias("active"))
-    share = F.floor(F.lit(4) / F.coalesce("active", F.lit(1)))
-    return calls.join(active, "s", "left").select("s", "isolate", "calls", F.least("calls", share).alias("admitted"))
+    # a group is the calls of one scope in one second
+    call = F.struct("id", (F.col("account") % 5).alias("isolate"), (F.col("k") % 4 + 1).alias("want"))
+    seconds = v.usage.groupBy(F.col("method").alias("scope"), F.floor(F.col("sec") / 60).alias("s")).agg(F.array_sort(F.collect_list(call)).alias("calls"), F.count_distinct(F.col("account") % 5).alias("isolates"))
+    active = seconds.select("scope", (F.col("s") + 1).alias("s"), F.col("isolates").alias("active"))
+    met = seconds.join(active, ["scope", "s"], "left").withColumn("tokens", granted(F.transform("calls", lambda c: c["want"]), F.coalesce("active", F.lit(1))))
+    return met.select("scope", "s", F.explode(F.arrays_zip("calls", "tokens")).alias("x")).select("scope", "s", "x.calls.id", "x.tokens")
 
 
 @query("SO09", "SELECT 0 AS ordinal, count(*) AS answer FROM blocks UNION ALL SELECT 1, max(number) FROM blocks UNION ALL SELECT 2, count(*) FROM transactions", "blocks")
@@ -104,13 +138,45 @@ def live_fences(v):
     return v.blocks.where("number % 9 = 4").crossJoin(F.broadcast(newest)).where("timestamp > now - 1800").select("number", "hash")  # the right side is one row
 
 
-@query("FL05 SC16", "SELECT s.key, max(s.block) AS block FROM state s WHERE s.key % 10 = 3 GROUP BY s.key", "state")
-def layer_lookup(v):
-    wanted = v.state.select("key").distinct().where("key % 10 = 3")
-    return v.state.join(wanted, "key", "left_semi").groupBy("key").agg(F.max("block").alias("block"))
+#: Blocks of a state layer.
+LAYER = 50
+
+
+def layer_filters(rows):
+    """layer, lanes: a Bloom filter of the keys of each layer."""
+    from blocklens.operators.logs import blooms
+
+    return blooms(rows.select("layer", F.col("key").cast("string").alias("x")), "layer")
 
 
-@query("TR14", "SELECT number, least(300, CAST(pow(2, number % 12) AS BIGINT)) AS wait, number % 12 >= 10 AS stop FROM blocks", "blocks")
+def may_hold(key):
+    """True where the filter of a row admits the key: all its bits are set."""
+    from blocklens.operators.logs import bloom_bits
+
+    lanes = F.array(*[F.col(f"lane{i}") for i in range(32)])
+    return F.forall(bloom_bits(key.cast("string")), lambda bit: F.getbit(F.get(lanes, F.floor(bit / 64).cast("int")), bit % 64) == 1)
+
+
+@query("FL05 SC16", f"SELECT key, max(block) AS block, count(DISTINCT block // {LAYER}) AS layers FROM state GROUP BY key", "state")
+def layer_lookup(v):
+    """The newest block and the number of layers of every key, read from the layers whose filter admits it."""
+    rows = v.state.select("key", "block", F.floor(F.col("block") / LAYER).alias("layer"))
+    asked = rows.select("key").distinct()
+    # a row for each layer, at most blocks / LAYER; each meets the keys that its filter admits
+    admitted = asked.join(layer_filters(rows), may_hold(F.col("key"))).select("key", "layer")
+    return rows.join(admitted, ["key", "layer"]).groupBy("key").agg(F.max("block").alias("block"), F.count_distinct("layer").alias("layers"))
+
+
+@query(
+    "TR14",
+    """WITH e AS (SELECT account, id, method = 'error' AS failed, count(*) FILTER (WHERE method <> 'error') OVER (PARTITION BY account ORDER BY id ROWS UNBOUNDED PRECEDING) AS run FROM usage)
+SELECT account, id, row_number() OVER (PARTITION BY account, run ORDER BY id) AS failures, least(300, CAST(pow(2, least(row_number() OVER (PARTITION BY account, run ORDER BY id), 8)) AS BIGINT)) AS wait FROM e WHERE failed""",
+    "usage",
+)
 def retry_waits(v):
-    tries = F.col("number") % 12
-    return v.blocks.select("number", F.least(F.lit(300), F.pow(F.lit(2), tries).cast("long")).alias("wait"), (tries >= 10).alias("stop"))
+    """Waits after failures in a row of an account: two to the number of failures, at most 2^8 and five minutes."""
+    order = Window.partitionBy("account").orderBy("id")
+    run = F.count_if(F.col("method") != "error").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    failed = v.usage.select("account", "id", "method", run.alias("run")).where("method = 'error'")
+    failures = F.row_number().over(Window.partitionBy("account", "run").orderBy("id"))
+    return failed.select("account", "id", failures.cast("long").alias("failures")).withColumn("wait", F.least(F.lit(300), F.pow(F.lit(2), F.least("failures", F.lit(8))).cast("long")))

@@ -52,14 +52,20 @@ def merge_run(objects: list[tuple[int, int, bool]], max_objects: int, batch: int
     return (-min(pairs)[2], 2) if pairs else (-1, 0)
 
 
-def promotion_target(promoted: int, finalized: int, batch: int, group: int, oldest_age: float, max_age: float, max_batches: int) -> int | None:
-    """The block to promote to: full batches, or what is older than max_age, ending on a group boundary; None to wait."""
-    ready = finalized - promoted
-    if ready <= 0 or (ready < batch and oldest_age < max_age):
+def promotion_target(promoted: int, finalized: int, batch: int, group: int, oldest_age: float, max_age: float, max_batches: int, live_head: int | None = None, network_head: int | None = None) -> int | None:
+    """The block to promote to, at the end of a group; None to wait.
+
+    Full batches go at once. Less goes only when the oldest block is older than max_age and the live window is within a
+    batch of the network's head, as all blocks are old while the window catches up.
+    """
+    head = finalized if live_head is None else live_head
+    reach = min(finalized, head, promoted + batch * max_batches)
+    target = reach - (reach + 1) % group
+    if target <= promoted:
         return None
-    to = min(finalized, promoted + batch * max_batches)
-    to = (to + 1) // group * group - 1
-    return to if to > promoted else None
+    catching_up = network_head is not None and network_head - head > batch
+    full = target - promoted >= batch
+    return target if full or (oldest_age >= max_age and not catching_up) else None
 
 
 @query("ST03 TR08", "SELECT number, hash, number > 100 AS live FROM blocks", "blocks")
@@ -68,10 +74,9 @@ def archive_live_union(v):
     return union_at(side(False), side(True), 100)
 
 
-@query("ST05", "SELECT DISTINCT sender FROM transactions WHERE block < 30 EXCEPT SELECT recipient FROM transactions WHERE block < 60", "transactions")
+@query("ST05", "SELECT DISTINCT sender FROM transactions EXCEPT SELECT recipient FROM transactions", "transactions")
 def diff_coverage(v):
-    a = v.transactions.where("block < 30").select("sender")
-    return a.subtract(v.transactions.where("block < 60").select(F.col("recipient").alias("sender")))
+    return v.transactions.select("sender").subtract(v.transactions.select(F.col("recipient").alias("sender")))
 
 
 @query("ST06 TR06", "SELECT number, hash FROM blocks WHERE number > 95 AND number <= 120", "blocks")
@@ -95,10 +100,15 @@ def fork_ancestor(v):
     return own.join(node, ["number", "hash"]).agg(F.max("number").alias("ancestor"))
 
 
-@query("WN12", "WITH b AS (SELECT number FROM blocks WHERE number % 37 <> 11), i AS (SELECT number, number - row_number() OVER (ORDER BY number) AS g FROM b) SELECT min(number) AS first, max(number) AS last, count(*) AS n FROM i GROUP BY g ORDER BY last DESC LIMIT 1", "blocks")
+#: Blocks of a live window, at most.
+LIVE_WINDOW = 20
+
+
+@query("WN12", f"WITH b AS (SELECT number FROM blocks WHERE number % 37 <> 11), i AS (SELECT number, number - row_number() OVER (ORDER BY number) AS g FROM b), r AS (SELECT min(number) AS first, max(number) AS last FROM i GROUP BY g ORDER BY last DESC LIMIT 1) SELECT greatest(first, last - {LIVE_WINDOW - 1}) AS first, last, last - greatest(first, last - {LIVE_WINDOW - 1}) + 1 AS n FROM r", "blocks")
 def contiguous_window(v):
     held = v.blocks.where("number % 37 <> 11").select("number")
-    return islands(held, "number").orderBy(F.col("last").desc()).limit(1).select(F.greatest("first", F.col("last") - 1023).alias("first"), "last", F.least("n", F.lit(1024)).alias("n"))
+    first = F.greatest("first", F.col("last") - (LIVE_WINDOW - 1))
+    return islands(held, "number").orderBy(F.col("last").desc()).limit(1).select(first.alias("first"), "last", (F.col("last") - first + 1).alias("n"))
 
 
 @query("WN13", "WITH b AS (SELECT DISTINCT l_orderkey AS n FROM lineitem), i AS (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM b) SELECT min(n) AS first, max(n) AS last, count(*) AS n FROM i GROUP BY g")
@@ -124,22 +134,54 @@ def systematic_sample(v):
     return v.blocks.select("number", (F.col("number") % 128 == 0).alias("rerun"), (F.col("number") % 997 == 0).alias("crosscheck")).where("rerun or crosscheck")
 
 
-@query("SC19", "SELECT o.id, o.unreferenced_at + 604800 AS due FROM (SELECT p_partkey AS id, 1700000000 + p_partkey * 1000 AS unreferenced_at FROM part) o WHERE o.id NOT IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-06-01') AND o.unreferenced_at + 604800 < 1701000000")
+@query("SC19", "SELECT o.id, o.unreferenced_at + 604800 AS due FROM (SELECT p_partkey AS id, 1700000000 + p_partkey * 1000 AS unreferenced_at FROM part) o WHERE o.id NOT IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1992-02-15') AND o.unreferenced_at + 604800 <= 1700700000")
 def gc_candidates(v):
     objects = v.table("part").select(F.col("p_partkey").alias("id"), (F.lit(1_700_000_000) + F.col("p_partkey") * 1000).alias("at"))
-    used = v.table("lineitem").where("l_shipdate < timestamp_ntz'1997-06-01 00:00:00'").select(F.col("l_partkey").alias("id"))
-    return objects.join(used, "id", "left_anti").select("id", (F.col("at") + 604_800).alias("due")).where("due < 1701000000")
+    used = v.table("lineitem").where("l_shipdate < timestamp_ntz'1992-02-15 00:00:00'").select(F.col("l_partkey").alias("id"))
+    return objects.join(used, "id", "left_anti").select("id", (F.col("at") + 604_800).alias("due")).where("due <= 1700700000")
 
 
-@query("SF32 SF31", "SELECT number, CAST(floor(log2(greatest(number, 1)) / 2) AS INTEGER) AS level, number % 16 AS shard FROM blocks", "blocks")
-def index_levels(v):
-    return v.blocks.select("number", F.floor(F.log2(F.greatest("number", F.lit(1))) / 2).cast("int").alias("level"), (F.col("number") % 16).alias("shard"))
+#: Blocks of a batch and shards of the live window.
+BATCH_BLOCKS, SHARDS = 256, 16
+
 
+def index_level(span, batch: int = BATCH_BLOCKS):
+    """The tier of an index object: level l covers at least batch x 4^l blocks."""
+    return sum((span >= batch * 4**i).cast("int") for i in range(1, 16))
 
-@query("SC09", "SELECT first, max(last) AS last FROM (SELECT l_orderkey // 50 * 50 AS first, l_orderkey // 50 * 50 + l_linenumber * 10 AS last FROM lineitem) GROUP BY first")
+
+@query(
+    "SF32 SF31",
+    f"SELECT number, CAST(greatest(0, floor(log2(span // {BATCH_BLOCKS}) / 2)) AS INTEGER) AS level, CAST(('0x' || substr(hash, 1, 2)) AS BIGINT) % {SHARDS} AS shard FROM (SELECT number, hash, {BATCH_BLOCKS} * (1 + number * number % 5000) - number % 2 AS span FROM blocks)",
+    "blocks",
+)
+def index_levels(v):
+    """Level of an index object by its span, shard of a record by the first byte of its hash."""
+    n = F.col("number")
+    span = BATCH_BLOCKS * (1 + n * n % 5000) - n % 2
+    return v.blocks.select("number", index_level(span).alias("level"), (F.conv(F.substring("hash", 1, 2), 16, 10).cast("long") % SHARDS).alias("shard"))
+
+
+def tiles(files: DataFrame, covered: str = "reach") -> DataFrame:
+    """Of files (part, first, last) those that tile each part without gap or overlap beyond need: in order of their begin,
+    the longest of each begin, as far as it reaches past all before it."""
+    longest = files.groupBy("part", "first").agg(F.max("last").alias("last"))
+    before = F.max("last").over(Window.partitionBy("part").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    begin = F.greatest("first", F.coalesce(F.col(covered) + 1, F.col("first")))
+    return longest.withColumn(covered, before).where(F.col(covered).isNull() | (F.col("last") > F.col(covered))).select("part", begin.alias("first"), "last", (F.col(covered).isNotNull() & (F.col("first") > F.col(covered) + 1)).alias("gap"))
+
+
+@query(
+    "SC09",
+    """WITH f AS (SELECT l_orderkey // 1000 AS part, l_orderkey // 7 * 7 AS first, l_orderkey // 7 * 7 + l_linenumber * 3 AS last FROM lineitem WHERE l_linenumber > 1),
+m AS (SELECT part, first, max(last) AS last FROM f GROUP BY part, first),
+r AS (SELECT *, max(last) OVER (PARTITION BY part ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m)
+SELECT part, greatest(first, coalesce(reach + 1, first)) AS first, last, reach IS NOT NULL AND first > reach + 1 AS gap FROM r WHERE reach IS NULL OR last > reach""",
+)
 def range_tiles(v):
-    first = F.floor(F.col("l_orderkey") / 50) * 50
-    return v.table("lineitem").select(first.alias("first"), (first + F.col("l_linenumber") * 10).alias("last")).groupBy("first").agg(F.max("last").alias("last"))
+    first = F.floor(F.col("l_orderkey") / 7) * 7
+    files = v.table("lineitem").where("l_linenumber > 1").select(F.floor(F.col("l_orderkey") / 1000).alias("part"), first.alias("first"), (first + F.col("l_linenumber") * 3).alias("last"))
+    return tiles(files)
 
 
 @query("TR04 TR09 TR10", "SELECT number // 8 AS grp, count(*) AS n, min(number) AS first, max(number) AS last, max_by(hash, number) AS head FROM blocks GROUP BY 1", "blocks")

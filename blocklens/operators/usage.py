@@ -45,14 +45,17 @@ def report_deltas(v):
     return totals.select("account", "id", F.greatest(F.col("t") - F.lag("t", 1, 0).over(order), F.lit(0)).alias("units"))
 
 
+#: The time of the report, in the middle of the view's periods.
+_NOW = 1_702_500_000_000
 _INCLUDED = "CASE plan WHEN 'public' THEN 10000000 WHEN 'free' THEN 20000000 WHEN 'unverified' THEN 0 WHEN 'builder' THEN 600000000 WHEN 'growth' THEN 3000000000 WHEN 'scale' THEN 20000000000 ELSE 20000000 END"
 
 
-@query("FL10 SO02", f"SELECT address, plan, period_units AS used, CAST({_INCLUDED} AS BIGINT) AS included, CASE WHEN {_INCLUDED} > 0 THEN round(CAST(period_units AS DOUBLE) / {_INCLUDED}, 4) END AS ratio, suspended FROM accounts WHERE period_units > {_INCLUDED} ORDER BY period_units DESC, address LIMIT 100", "accounts")
+@query("FL10 SO02", f"SELECT address, plan, period_units AS used, CAST({_INCLUDED} AS BIGINT) AS included, CASE WHEN {_INCLUDED} > 0 THEN round(CAST(period_units AS DOUBLE) / {_INCLUDED}, 4) END AS ratio, suspended FROM accounts WHERE plan <> 'internal' AND period_end > {_NOW} AND period_units > {_INCLUDED} ORDER BY period_units DESC, address LIMIT 100", "accounts")
 def over_quota(v):
     included = M.plan_value(F.col("plan"), 1)
     ratio = F.when(included > 0, F.round(F.col("period_units").cast("double") / included, 4))
-    return v.accounts.where(F.col("period_units") > included).select("address", "plan", F.col("period_units").alias("used"), included.alias("included"), ratio.alias("ratio"), "suspended").orderBy(F.col("used").desc(), "address").limit(100)
+    due = (F.col("plan") != "internal") & (F.col("period_end") > _NOW)
+    return v.accounts.where(due & (F.col("period_units") > OVER_QUOTA * included)).select("address", "plan", F.col("period_units").alias("used"), included.alias("included"), ratio.alias("ratio"), "suspended").orderBy(F.col("used").desc(), "address").limit(100)
 
 
 @query(
@@ -227,7 +230,15 @@ def asn_buckets(v):
     return named.select("id", F.split_part("c", F.lit(":"), F.lit(2)).alias("asn"), "units").orderBy(F.col("units").desc(), "id").limit(20)
 
 
-@query("SC22 SC21", "SELECT 'nation' AS tbl, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS col")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query("SC22 SC21", f"SELECT table_name AS tbl, column_name AS col, ordinal_position AS place FROM information_schema.columns WHERE table_name IN {_TABLES}")
 def catalog_columns(v):
-    frame = v.table("nation")
-    return v.spark.createDataFrame([("nation", c) for c in frame.columns], "tbl string, col string")
+    """Tables registered as views of this session and the columns that the catalog lists for them."""
+    prefix = "blocklens_catalog_"
+    for name in _TABLES:
+        v.table(name).createOrReplaceTempView(prefix + name)
+    listed = [t.name for t in v.spark.catalog.listTables() if t.name.startswith(prefix)]
+    rows = [(t.removeprefix(prefix), c.name, i) for t in listed for i, c in enumerate(v.spark.catalog.listColumns(t), 1)]
+    return v.spark.createDataFrame(rows, "tbl string, col string, place int")

@@ -146,6 +146,10 @@ def test_promotion_target():
     assert promotion_target(-1, 100, 256, 8, 0, 3600, 4) is None
     assert promotion_target(-1, 100, 256, 8, 7200, 3600, 4) == 95
     assert promotion_target(99, 99, 256, 8, 7200, 3600, 4) is None
+    assert promotion_target(-1, 262, 260, 8, 0, 3600, 4) is None  # the last whole group ends at 255: no full batch
+    assert promotion_target(-1, 100, 256, 8, 7200, 3600, 4, live_head=100, network_head=400) is None  # still catching up
+    assert promotion_target(-1, 100, 256, 8, 7200, 3600, 4, live_head=90, network_head=300) == 87
+    assert promotion_target(-1, 9000, 256, 8, 0, 3600, 4) == 1023
 
 
 def test_gas_search():
