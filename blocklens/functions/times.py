@@ -27,11 +27,17 @@ def bucket(seconds: Column, width: int) -> Column:
     return (F.floor(seconds / width) * width).cast("long")
 
 
+#: Milliseconds of the units of a duration.
+UNITS = {"ns": 1e-6, "us": 1e-3, "µs": 1e-3, "μs": 1e-3, "ms": 1.0, "s": 1e3, "m": 6e4, "h": 3.6e6}
+_PART = r"[0-9]+(?:\.[0-9]*)?|\.[0-9]+"
+
+
 def duration_ms(text: Column) -> Column:
-    """Milliseconds of a duration like 1m30s or 250ms; null where it is malformed."""
-    units = (("h", 3_600_000), ("m(?!s)", 60_000), ("(?<!m)s", 1_000), ("ms", 1))
-    total = F.lit(0.0)
-    for unit, ms in units:
-        found = F.regexp_extract(text, rf"([0-9]+(?:\.[0-9]+)?){unit}", 1)
-        total = total + F.when(found != "", found.cast("double") * ms).otherwise(0.0)
-    return F.when(text.rlike(r"^(?:[0-9]+(?:\.[0-9]+)?(?:h|ms|m|s))+$"), total)
+    """Milliseconds of a duration like 1m30s, -250ms, 1.5h or 0; units may repeat and come in any order; null where it is malformed."""
+    units = "ns|us|µs|μs|ms|s|m|h"
+    found = lambda group: F.regexp_extract_all(text, F.lit(f"({_PART})({units})"), F.lit(group))
+    scale = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    parts = F.zip_with(found(1), found(2), lambda n, u: n.cast("double") * scale[u])
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    signed = F.when(F.startswith(text, F.lit("-")), -total).otherwise(total)
+    return F.when(text.rlike("^[+-]?0$"), F.lit(0.0)).when(text.rlike(f"^[+-]?(?:(?:{_PART})(?:{units}))+$"), signed)

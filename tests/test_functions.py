@@ -58,8 +58,8 @@ def test_hmac_and_networks(spark):
 
 
 def test_durations(spark):
-    rows = spark.createDataFrame([("1m30s",), ("250ms",), ("2h",), ("1.5s",), ("x",), ("",)], "d string").select(times.duration_ms(F.col("d"))).collect()
-    assert [r[0] for r in rows] == [90_000.0, 250.0, 7_200_000.0, 1_500.0, None, None]
+    rows = spark.createDataFrame([("1m30s",), ("250ms",), ("2h",), ("1.5s",), ("x",), ("",), ("-1.5h",), ("1s1s",), ("500us",), ("+.5s",), ("0",), ("3",), ("2µs1ns",)], "d string").select(times.duration_ms(F.col("d"))).collect()
+    assert [r[0] for r in rows] == pytest.approx([90_000.0, 250.0, 7_200_000.0, 1_500.0, None, None, -5_400_000.0, 2_000.0, 0.5, 500.0, 0.0, None, 0.002001])
 
 
 def test_credits_and_prices(spark):
@@ -89,6 +89,22 @@ def test_a_series_that_is_too_long_is_refused(spark):
         spark.createDataFrame([(10**9, 3_338_477)], "n long, d long").select(fees.fake_exponential(F.col("n"), F.col("d"))).collect()
 
 
+def test_carries_across_cells(spark, monkeypatch):
+    from blocklens.operators import windows
+
+    monkeypatch.setattr(windows, "CELL", 4)
+    rng = random.Random(5)
+    keys = sorted(rng.sample(range(400), 300))
+    df = spark.createDataFrame([(k, k % 7) for k in keys], "k long, x long")
+    got = {r["k"]: r["before"] for r in windows.running_total(df, "k", "x", "before").collect()}
+    assert got == {k: sum(j % 7 for j in keys if j < k) for k in keys}
+    runs = sorted((r["first"], r["last"], r["n"]) for r in windows.islands(df, "k").collect())
+    want = []
+    for k in keys:
+        want = [*want[:-1], (want[-1][0], k, want[-1][2] + 1)] if want and want[-1][1] == k - 1 else [*want, (k, k, 1)]
+    assert runs == want
+
+
 def test_percentile_checks():
     assert fees.check_percentiles([0, 50, 100]) == [0, 50, 100]
     for bad in ([50, 50], [-1], [101], ["5"], [True]):
