@@ -122,14 +122,23 @@ def shared_budget(v):
     return met.select("scope", "s", F.explode(F.arrays_zip("calls", "tokens")).alias("x")).select("scope", "s", "x.calls.id", "x.tokens")
 
 
-@query("SO09", "SELECT 0 AS ordinal, count(*) AS answer FROM blocks UNION ALL SELECT 1, max(number) FROM blocks UNION ALL SELECT 2, count(*) FROM transactions", "blocks")
+#: A request of several calls, one of them unknown.
+CALLS = (("eth_blockNumber",), ("eth_getBlockTransactionCountByNumber", "0x3"), ("eth_unknown",), ("eth_chainId",), ("eth_getUncleCountByBlockNumber", "0x5"))
+
+
+@query(
+    "SO09",
+    """SELECT 0 AS ordinal, printf('0x%x', max(number)) AS result, CAST(NULL AS INTEGER) AS code FROM blocks UNION ALL SELECT 1, (SELECT printf('0x%x', count(*)) FROM transactions WHERE block = 3), NULL
+UNION ALL SELECT 2, NULL, -32601 UNION ALL SELECT 3, '0x1', NULL UNION ALL SELECT 4, printf('0x%x', count(*)), NULL FROM blocks WHERE number = 5""",
+    "blocks",
+)
 def batched_answers(v):
-    answers = [v.blocks.agg(F.count("*").alias("answer")), v.blocks.agg(F.max("number").alias("answer")), v.transactions.agg(F.count("*").alias("answer"))]
-    out = None
-    for i, a in enumerate(answers):
-        row = a.select(F.lit(i).alias("ordinal"), "answer")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """The answers of a batch in the order of its calls, each a result or an error."""
+    from blocklens.plans.rpc import Node
+
+    answers = Node(v).batch([{"id": i, "method": method, "params": list(params)} for i, (method, *params) in enumerate(CALLS)])
+    rows = [(a["id"], a.get("result"), a["error"]["code"] if "error" in a else None) for a in answers]  # at most 32
+    return v.spark.createDataFrame(rows, "ordinal int, result string, code int")
 
 
 @query("TR07", "SELECT number, hash FROM blocks WHERE number % 9 = 4 AND timestamp > (SELECT max(timestamp) FROM blocks) - 1800", "blocks")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.functions import metering as M
-from blocklens.functions.network import ipv4_network
+from blocklens.functions.network import ipv4_network, ipv6_network
 from blocklens.functions.times import duration_ms, utc_day, utc_month
 from blocklens.registry import query
 
@@ -183,6 +183,16 @@ def token_amounts(v):
     return v.invoices.select("id", M.token_units(F.col("usd_cents")).alias("units"))
 
 
+#: A price of an ether in cents, with eight decimals of a dollar (test value).
+ETHER_PRICE = 3_123_45678901
+
+
+@query("SF29", f"SELECT id, CAST((CAST(usd_cents AS HUGEINT) * 1000000000000 + {ETHER_PRICE} - 1) // {ETHER_PRICE} AS BIGINT) AS units FROM invoices", "invoices")
+def ether_amounts(v):
+    """Cents in ether at a price of eight decimals, in units of 10^12 wei, rounded up."""
+    return v.invoices.select("id", F.expr(f"(cast(usd_cents as decimal(20, 0)) * 1000000000000 + {ETHER_PRICE - 1}) div {ETHER_PRICE}").alias("units"))
+
+
 @query("JN22", "SELECT i.id, CAST(coalesce(sum(l.data), 0) AS BIGINT) AS received, coalesce(sum(l.data), 0) >= i.usd_cents // 4 AS enough FROM invoices i LEFT JOIN raw_logs l ON l.block = i.id // 100 AND l.tx_index = i.id % 100 AND l.topic0 <> 'N' WHERE i.status = 'pending' GROUP BY i.id, i.usd_cents", "invoices raw_logs")
 def payment_verification(v):
     received = v.raw_logs.where("topic0 <> 'N'").groupBy("block", "tx_index").agg(F.sum("data").alias("s"))
@@ -214,6 +224,15 @@ def client_networks(v):
     return v.table("customer").select(F.col("c_custkey").alias("id"), ipv4_network(ip).alias("net"))
 
 
+@query("SF09", "SELECT c_custkey AS id, '2001:db8:' || printf('%x', c_custkey % 4096) || ':0::/64' AS net FROM customer")
+def client_networks6(v):
+    """The /64 of IPv6 clients, written in full or shortened."""
+    part = F.lower(F.hex(F.col("c_custkey") % 4096))
+    full = F.concat(F.lit("2001:0db8:"), F.lpad(part, 4, "0"), F.lit(":0000:1:2:3:4"))
+    short = F.concat(F.lit("2001:DB8:"), part, F.lit("::9"))
+    return v.table("customer").select(F.col("c_custkey").alias("id"), ipv6_network(F.when(F.col("c_custkey") % 2 == 0, full).otherwise(short)).alias("net"))
+
+
 @query("SF43", "SELECT id, CAST(k * 60000 + (k % 60) * 1000 AS DOUBLE) AS ms FROM usage", "usage")
 def parsed_durations(v):
     return v.usage.select("id", duration_ms(F.concat(F.col("k").cast("string"), F.lit("m"), (F.col("k") % 60).cast("string"), F.lit("s"))).alias("ms"))
