@@ -42,7 +42,8 @@ PER_CLASS = 2500
 ODDS = 3.0, 3.0
 #: Characters of the texts of a class to learn from, at most.
 CLASS_CHARS = 32_000_000
-#: Rounds of training, more where the sample is small, so that there are LEAST_STEPS steps of STEP windows.
+#: Rounds of training, more where the sample is small, so that there are LEAST_STEPS steps of STEP windows; a round has one
+#: step at least. All windows are scored anew up to twice ROUNDS times.
 ROUNDS, STEP, LEAST_STEPS = 8, 128, 500
 SEED = 7
 #: Words whose inputs are kept by a worker.
@@ -282,7 +283,8 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     clean = np.flatnonzero(target[owner] == 0)
     step = 0
-    rounds = max(ROUNDS, -(-LEAST_STEPS * STEP // (4 * int((target == 0).sum()))))
+    rounds = max(ROUNDS, min(LEAST_STEPS, -(-LEAST_STEPS * STEP // (4 * int((target == 0).sum())))))
+    again = -(-rounds // (2 * ROUNDS))
     for round_ in range(rounds):
         order = np.lexsort((rng.random(len(score)), -score, owner))
         top = order[first]
@@ -298,9 +300,10 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network | No
                 v *= 0.999
                 v += 0.001 * g * g
                 net.p[k] -= (0.01 if round_ < 0.75 * rounds else 0.003) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        for i in range(0, len(words), 16_384):
-            inputs[i : i + 16_384] = net.word_inputs(words[i : i + 16_384])
-        score = bags.each(lambda words, mask: net.run(inputs[words], mask))
+        if round_ % again == again - 1 and round_ + 1 < rounds:
+            for i in range(0, len(words), 16_384):
+                inputs[i : i + 16_384] = net.word_inputs(words[i : i + 16_384])
+            score = bags.each(lambda words, mask: net.run(inputs[words], mask))
     return net
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from blocklens.llm import fingerprints, langid, linededup, mixing, neardup, packing, pii, simhash, tokencount, topk, toxicity
 from blocklens.llm.queries import vocabulary
 
-EXTRA = ["size", "fp", "fingerprint", "score", "sequence_id", "target", "held_out", "c", "h", "__text_other", "number", "digest"]
+EXTRA = ["size", "fp", "fingerprint", "score", "sequence_id", "target", "held_out", "c", "h", "__text_other", "number", "digest", "__id", "__hash", "__text_hash", "__removed", "__lines", "__source", "__site", "__size", "__key", "__copies", "__copy", "__row", "__score", "__score_", "root", "sig", "few", "dense", "__h", "__part", "edge", "__text", "__at"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *[T.StructField(x, T.StringType()) for x in EXTRA]])
 LONG = ("word " * 30_000).strip()
 
@@ -82,6 +82,70 @@ def test_known_results(spark):
     assert counts[1]["n_tokens"] == 0 and counts[1]["n_bytes"] == 0 and counts[4]["over_limit"]
 
 
+def test_very_long_texts_and_repeated_rows(spark):
+    long = " ".join(f"word{i % 977} and{i % 31}" for i in range(40_000))
+    changed = long.replace("word5 ", "other5 ", 20)
+    rows = [(1, long, "en", "a"), (2, changed, "en", "b"), (3, long, None, "c"), (4, "short text", "en", "a"), (4, "short text", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = neardup.one_of_each(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 4]
+    got = [(r["doc_id"], r["lang_pred"]) for r in langid.predict_languages(docs).collect()]
+    assert sorted(got) == [(1, "en"), (2, "en"), (3, "en"), (4, "en"), (4, "en")]
+    taken = mixing.mix_report(docs).where("doc_id = 4").collect()
+    assert len(taken) == 2 and len(set(taken)) == 1
+
+
+def test_many_removed_lines_in_one_document(spark):
+    import time
+
+    shared = [f"shared line {i}" for i in range(30_000)]
+    rows = [(i, "\n".join([f"own {i}", *shared]), f"s{i}") for i in range(11)]
+    begun = time.time()
+    got = {r["doc_id"]: r for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i]["n_removed"] for i in range(11)] == [0, *[30_000] * 10] and time.time() - begun < 90
+    import hashlib
+
+    assert got[5]["clean_sha256"] == hashlib.sha256(b"own 5").hexdigest()
+
+
+def test_sample_is_bounded_in_rows_and_characters(spark):
+    rows = [(i, "x" * 100) for i in range(40)] + [(40, "y" * 5000), (1, "a" * 50), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(41)] + [(3, 0, 1), (None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.sample(docs, labels, per_class=15, class_chars=1000)
+    for label in (0, 1):
+        texts = [r["text"] for r in got if r["__toxic"] == label]
+        assert 5 <= len(texts) <= 15 and sum(len(t or "") for t in texts) <= 1000 and all(len(t or "") in (0, 50, 100) for t in texts)
+    assert len({(r["doc_id"], r["__toxic"]) for r in got}) == len(got)
+    assert sorted(map(str, got)) == sorted(map(str, toxicity.sample(docs.repartition(7), labels, per_class=15, class_chars=1000)))
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    from blocklens.llm import common
+
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_hot_keys_are_split_in_joins(spark):
+    from blocklens.llm.common import join_split
+
+    rows = spark.createDataFrame([(i % 3 if i < 90 else 100 + i, i) for i in range(120)], "k long, x long")
+    table = spark.createDataFrame([(k, k * 2) for k in [0, 1, 2, *range(190, 215)]], "k long, y long")
+    plain = sorted(map(str, rows.join(table, "k", "left").select("k", "x", "y").collect()))
+    assert sorted(map(str, join_split(rows, table, "k", hot=20, spread=4).select("k", "x", "y").collect())) == plain
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (100, None), (200, [1.0, None]), (300, [nan, 1.0]), (400, [inf, 1.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, [1.0]), (4, []), (None, [1.0, 1.0]), (5, [1e12, 1.0]), (2, [1.0, 0.5])]

@@ -564,6 +564,19 @@ def test_texts_without_letters_have_no_language(spark, text):
     assert (got[100]["lang_pred"], got[100]["score"]) == ("und", 0.0) and got[101]["lang_pred"] == "en"
 
 
+def test_toxicity_of_held_out_documents(spark):
+    from blocklens.llm.toxicity import score_documents
+
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = score_documents(docs, labels).toPandas().merge(labels.where("toxic is not null").toPandas(), on="doc_id")
+    held = got[[zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]]
+    assert held.held_out.all() and len(held) > 500 and (got.predicted == (got.score >= 0.5)).all()
+    hit = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert hit / held.predicted.sum() > 0.85 and hit / held.toxic.sum() > 0.75
+
+
 def test_network_gradients():
     net = Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
