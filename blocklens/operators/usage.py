@@ -260,4 +260,6 @@ def catalog_columns(v):
         v.table(name).createOrReplaceTempView(prefix + name)
     listed = [t.name for t in v.spark.catalog.listTables() if t.name.startswith(prefix)]
     rows = [(t.removeprefix(prefix), c.name, i) for t in listed for i, c in enumerate(v.spark.catalog.listColumns(t), 1)]
+    for name in listed:
+        v.spark.catalog.dropTempView(name)
     return v.spark.createDataFrame(rows, "tbl string, col string, place int")
