@@ -80,7 +80,9 @@ def block_bodies(v):
     one = lambda i: F.concat_ws(":", quantity(n * 3 + i), quantity((n + i) % 50), address(n % 500 + i), quantity(n * 10 + i))
     withdrawals = F.array_join(F.transform(F.slice(F.array(*[F.lit(i).cast("long") for i in range(3)]), F.lit(1), (n % 3).cast("int")), one), ",")
     uncles = F.when(n % 5 == 0, _digest("uncle", n)).otherwise(F.lit(""))
-    return v.blocks.join(bodies, "number").select(F.concat(F.lit("0x"), F.col("hash")).alias("hash"), quantity(n).alias("number"), quantity(F.col("size")).alias("size"), "transactions", uncles.alias("uncles"), _from(WITHDRAWALS, withdrawals).alias("withdrawals"))
+    # Ahead of the select: inside a lambda, Spark takes a name for an alias of the same select before it takes it for a column.
+    blocks = v.blocks.join(bodies, "number").withColumn("withdrawals", _from(WITHDRAWALS, withdrawals))
+    return blocks.select(F.concat(F.lit("0x"), F.col("hash")).alias("hash"), quantity(n).alias("number"), quantity(F.col("size")).alias("size"), "transactions", uncles.alias("uncles"), "withdrawals")
 
 
 _RS = "'0x' || regexp_replace(sha256('{}' || t.hash), '^0+(.)', '\\1')"

@@ -32,3 +32,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert all("GreaterThanOrEqual(l_orderkey,1000)" in f and "LessThanOrEqual(l_orderkey,6099)" in f for f, _ in by_address)
     assert any("In(l_suppkey, [" in f and columns.count(":") <= 2 for f, columns in by_address)
     assert any("EqualTo(l_returnflag,R)" in f for f, _ in pushed(spark, "logs_by_topic0"))
+
+
+def test_block_bodies_beyond_the_first_withdrawals(spark):
+    got = QUERIES["block_bodies"](spark, DATA.replace("sf0.001", "sf0.01")).collect()
+    assert max(int(r["number"], 16) for r in got) > 15 and any(r["withdrawals"] for r in got)
