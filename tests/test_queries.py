@@ -37,3 +37,11 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_block_bodies_beyond_the_first_withdrawals(spark):
     got = QUERIES["block_bodies"](spark, DATA.replace("sf0.001", "sf0.01")).collect()
     assert max(int(r["number"], 16) for r in got) > 15 and any(r["withdrawals"] for r in got)
+
+
+def test_block_bodies_equal_oracle_with_withdrawals(spark):
+    folder = DATA.replace("sf0.001", "sf0.01")
+    query = QUERIES["block_bodies"]
+    names, rows = spark_rows(query(spark, folder))
+    assert (names, rows) == duck_rows(query.sql, folder)
+    assert {len(w.split(",")) if w else 0 for w in (r[names.index("withdrawals")] for r in rows) if w is not None} == {0, 1, 2}
