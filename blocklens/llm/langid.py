@@ -19,7 +19,6 @@ result. The driver and each worker hold 4 KiB for each language that is learned.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache, partial
 
 import numpy as np
@@ -36,23 +35,24 @@ PER_LANGUAGE = 2000
 SHARPNESS = 20.0
 
 
-@lru_cache(maxsize=1)
-def not_letters() -> re.Pattern:
-    r"""Runs of characters that are no letters: \W, digits, the underscore, and the word characters that are
-    numbers or marks of another kind (superscripts, fractions, circled and Roman numerals)."""
-    odd = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W\d_{odd}]+")
-
-
 @lru_cache(maxsize=1)
 def _symbol_table() -> np.ndarray:
+    """The symbol of every code point; 0 for all that are no letters."""
     table = np.arange(0x110000) % 69 + 59
-    table[0x20] = 0
     table[ord("a") : ord("z") + 1] = np.arange(1, 27)
     table[0xDF:0x100] = np.arange(27, 60)
+    table[[not chr(c).isalpha() for c in range(0x110000)]] = 0
     return table.astype(np.int32)
 
 
+def symbols(text: str | None) -> np.ndarray:
+    """The symbols of a text's letters, one 0 before, between and after its words; empty without letters."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
+    s = np.concatenate([[0], _symbol_table()[points], [0]], dtype=np.int32)
+    s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]  # of a run of zeros, the first
+    return s if len(s) > 1 else s[:0]
+
+
 class Trigrams:
     """Vectors of the trigrams seen so far, made on demand."""
 
@@ -79,11 +79,9 @@ class Trigrams:
 
     def encode(self, text: str | None) -> np.ndarray | None:
         """The document's vector at unit length; None without letters."""
-        plain = not_letters().sub(" ", (text or "").lower()).strip()
-        if not plain:
+        s = symbols(text)
+        if not len(s):
             return None
-        points = np.frombuffer(f" {plain} ".encode("utf-32-le", "replace"), np.uint32)
-        s = _symbol_table()[points]
         counts = np.bincount(self.rows((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]))
         seen = np.flatnonzero(counts)
         vector = counts[seen].astype(np.float32) @ self.vectors[seen]

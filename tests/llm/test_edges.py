@@ -154,3 +154,29 @@ def test_vectors_that_take_no_part(spark):
     big = 1024 * int(1024 * 1e12) + 512 * 1024
     assert got == [(0, 1, 5, big), (0, 2, 1, 1024 * 1024 + 512 * 512), (0, 3, 2, 1024 * 1024 + 512 * 512)]
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_letters_are_told_apart_by_table_not_by_pattern():
+    import re
+    import time
+
+    import numpy as np
+
+    odd = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha())
+    pattern = re.compile(rf"[\W\d_{odd}]+")
+    texts = ["Une phrase, deux mots ; the 3rd: straße №5, x² ½Ⅷ — 漢字! " * 400] * 20
+    langid.symbols("a"), pattern.sub(" ", "a")
+    begun = time.process_time()
+    plain = [pattern.sub(" ", t.lower()).strip() for t in texts]
+    by_pattern, begun = time.process_time() - begun, time.process_time()
+    got = [langid.trigrams().encode(t) for t in texts]
+    assert time.process_time() - begun < by_pattern / 2
+    assert all(np.array_equal(x, langid.trigrams().encode(p)) for x, p in zip(got, plain, strict=True))
+
+
+def test_symbols_of_odd_texts():
+    word = lambda *s: [0, *s, 0]
+    assert langid.symbols("Ab  1c").tolist() == [0, 1, 2, 0, 3, 0] == langid.symbols("--ab_c\n").tolist()
+    assert langid.symbols("é").tolist() == word(27 + 0xE9 - 0xDF) and len(langid.symbols("漢")) == 3
+    for text in (None, "", " \n", "123", "½Ⅷ²①", "👍🏽", "÷×", "\ud800"):
+        assert langid.symbols(text).tolist() == [] and langid.trigrams().encode(text) is None
