@@ -9,6 +9,7 @@ from blocklens.functions import metering as M
 from blocklens.functions.network import ipv4_network, ipv6_network
 from blocklens.functions.times import duration_ms, utc_day, utc_month
 from blocklens.registry import query
+from blocklens.sources.chainview import block_of
 
 # Fixed thresholds of the report.
 OVER_QUOTA, NETWORK_ACCOUNTS, NETWORK_KEYS, KEY_NETWORKS, AUTO_SUSPEND = 1.0, 5, 10, 20, 20
@@ -196,7 +197,7 @@ def ether_amounts(v):
 @query("JN22", "SELECT i.id, CAST(coalesce(sum(l.data), 0) AS BIGINT) AS received, coalesce(sum(l.data), 0) >= i.usd_cents // 4 AS enough FROM invoices i LEFT JOIN raw_logs l ON l.block = i.id // 100 AND l.tx_index = i.id % 100 AND l.topic0 <> 'N' WHERE i.status = 'pending' GROUP BY i.id, i.usd_cents", "invoices raw_logs")
 def payment_verification(v):
     received = v.raw_logs.where("topic0 <> 'N'").groupBy("block", "tx_index").agg(F.sum("data").alias("s"))
-    asked = v.invoices.where("status = 'pending'").select("id", "usd_cents", F.floor(F.col("id") / 100).alias("block"), (F.col("id") % 100).cast("int").alias("tx_index"))
+    asked = v.invoices.where("status = 'pending'").select("id", "usd_cents", block_of("id").alias("block"), (F.col("id") % 100).cast("int").alias("tx_index"))
     got = F.coalesce("s", F.lit(0))
     return asked.join(received, ["block", "tx_index"], "left").select("id", got.alias("received"), (got >= F.floor(F.col("usd_cents") / 4)).alias("enough"))
 

@@ -1,8 +1,11 @@
 import re
 
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 from blocklens.queries import QUERIES
+from blocklens.sources.chainview import Views
 from tests.conftest import DATA
 from tests.oracle import duck_rows, spark_rows
 
@@ -45,3 +48,26 @@ def test_block_bodies_equal_oracle_with_withdrawals(spark):
     names, rows = spark_rows(query(spark, folder))
     assert (names, rows) == duck_rows(query.sql, folder)
     assert {len(w.split(",")) if w else 0 for w in (r[names.index("withdrawals")] for r in rows) if w is not None} == {0, 1, 2}
+
+
+@pytest.fixture(scope="module", params=[-750, 1 << 53, (1 << 63) - 2000], ids=["below zero", "beyond doubles", "largest"])
+def shifted(request, tmp_path_factory):
+    """Orders and lines with keys that start elsewhere."""
+    out = tmp_path_factory.mktemp("shifted")
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        table = pq.read_table(f"{DATA}/{name}.parquet")
+        pq.write_table(table.set_column(table.schema.get_field_index(key), key, pc.add(table[key], request.param)), out / f"{name}.parquet")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["block_bodies", "payment_verification"])
+def test_blocks_of_any_order_key(spark, shifted, name):
+    query = QUERIES[name]
+    assert spark_rows(query(spark, shifted)) == duck_rows(query.sql, shifted)
+
+
+def test_key_ranges_hold_whole_blocks(spark, shifted):
+    v = Views(spark, shifted)
+    sizes = {r["block"]: r["count"] for r in v.transactions.groupBy("block").count().collect()}
+    for n in (min(sizes), sorted(sizes)[len(sizes) // 2], max(sizes)):
+        assert v.between(n, n).transactions.count() == sizes[n]
